@@ -8,11 +8,12 @@ from pulsegrid.llm.langid import op2_language_id
 from pulsegrid.llm.media import op4_iso_media
 from pulsegrid.llm.neardup import op7_near_duplicates
 from pulsegrid.llm.packing import op6_packing
+from pulsegrid.llm.pylm import op9_pitman_yor
 from pulsegrid.llm.quality import op3_quality
 from pulsegrid.llm.sharding import op5_uniform_shards
 from pulsegrid.llm.token_store import op1_token_store
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_language_id, op3_quality, op4_iso_media, op5_uniform_shards, op6_packing, op7_near_duplicates, op8_byte_bpe, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_language_id, op3_quality, op4_iso_media, op5_uniform_shards, op6_packing, op7_near_duplicates, op8_byte_bpe, op9_pitman_yor, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
 
 
