@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import column, documents, materialise
@@ -120,6 +120,16 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Which of 2**MAP_BITS hash slots the doc_ids of ``ids`` fall in, 32 in a word; the driver gets at most 2**18 rows."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MAP_BITS}) & 31 as int))")
+    word = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS + 5)
+    bitmap = np.zeros(2 ** (MAP_BITS - 5), dtype=np.int64)
+    for at, bits in ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        bitmap[at] = bits
+    return bitmap
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b), the links on full sets.
 
@@ -128,10 +138,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS)
-    words = ends.join(classes.select("node", F.col("first").alias("doc_id")), "node").groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MAP_BITS}) & 31 as int))")).alias("bits")).collect()  # at most 2^18 rows
-    bitmap = np.zeros(2 ** (MAP_BITS - 5), dtype=np.int64)
-    for word, bits in words:
-        bitmap[word] = bits
+    bitmap = _bitmap(ends.join(classes.select("node", F.col("first").alias("doc_id")), "node"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +227,8 @@ def _rest_of_hot_lists(hot: DataFrame, classes: DataFrame, components: DataFrame
     return first.unionByName(second).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long, estimate double").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def decisions(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, node, check, n_shingles, component_id, kept."""
     signed = materialise(signatures(docs), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
@@ -241,9 +248,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = named.withColumn("component_id", F.col("first"))
     out = signed.drop("sketch").join(named.select("node", "check", "component_id"), ["node", "check"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "node", "check", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
+    return decisions(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """Of each component of ``docs`` one document, all columns as they are; documents without words or doc_id all stay.
+
+    A bitmap of fixed size over the doc_ids that lose rows (or stand on several) parts the documents: the others pass
+    without a shuffle, and only those on the bitmap are joined with the decisions.
+    """
+    found = materialise(decisions(docs), "decisions").where("doc_id is not null")
+    lost = found.where("not kept").select("doc_id").unionByName(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    slot = F.coalesce(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS), F.lit(0))
+    bitmap = _bitmap(lost)
+
+    @F.pandas_udf("boolean")
+    def listed(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((bitmap[s >> 5] >> (s & 31) & 1).astype(bool))
+
+    @F.pandas_udf("node long, check long")
+    def identity(texts: pd.Series) -> pd.DataFrame:
+        both = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts]
+        halves = np.frombuffer(b"".join(both), ">i8").astype(np.int64).reshape(-1, 2)
+        return pd.DataFrame({"node": halves[:, 0], "check": halves[:, 1]})
+
+    on_map = F.col("doc_id").isNotNull() & listed(slot)
+    clear = docs.where(~on_map)
+    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "n_shingles").groupBy("_id", "_node", "_check").agg(F.max("n_shingles").alias("_n"))
+    doubtful = docs.where(on_map).withColumn("_set", identity("text"))
+    doubtful = doubtful.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_set.node") == F.col("_node")) & (F.col("_set.check") == F.col("_check")))
+    rank = F.row_number().over(Window.partitionBy("_id", "_node", "_check").orderBy(F.xxhash64("text")))
+    doubtful = doubtful.withColumn("_rank", F.when(F.col("_n") > 0, rank).otherwise(1)).where("_rank = 1")
+    return clear.unionByName(doubtful.select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
