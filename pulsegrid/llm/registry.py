@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pulsegrid.llm.byte_bpe import op8_byte_bpe
 from pulsegrid.llm.fingerprint import op10_fingerprints
 from pulsegrid.llm.langid import op2_language_id
@@ -14,6 +15,7 @@ from pulsegrid.llm.sharding import op5_uniform_shards
 from pulsegrid.llm.token_store import op1_token_store
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_language_id, op3_quality, op4_iso_media, op5_uniform_shards, op6_packing, op7_near_duplicates, op8_byte_bpe, op9_pitman_yor, op10_fingerprints)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
 
 
