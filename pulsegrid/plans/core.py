@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.plans import clustering  # noqa: F401
 from pulsegrid.plans.catalog import ORACLES, QUERIES
 
 
