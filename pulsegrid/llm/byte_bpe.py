@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm.common import column, documents
+from pulsegrid.llm.common import column, documents, text_groups
 
 _LEVEL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,25 +69,30 @@ class PerfectHash:
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """BPE ids of one pre-token by a heap of candidate pairs over linked bytes."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # a live node at i covers piece[i:end[i]]
-    back = list(range(-1, n - 1))
-    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
+    n, get = len(piece), ranks.get
+    heap = [rank << 40 | i for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]  # the rank, then the place
+    if not heap:
+        return [ranks[piece[i : i + 1]] for i in range(n)]
     heapq.heapify(heap)
-    live = bytearray(b"\x01") * n
+    pop, push = heapq.heappop, heapq.heappush
+    end = list(range(1, n + 2))  # a live node at i covers piece[i:end[i]]; -1 marks a node that was merged away
+    back = list(range(-1, n))
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        top = pop(heap)
+        i = top & 0xFFFFFFFFFF
         middle = end[i]
-        if not live[i] or middle >= stop or end[middle] != stop:
-            continue  # one of the two was merged meanwhile
-        live[middle] = 0
+        if middle < 0 or middle >= n:
+            continue
+        stop = end[middle]
+        if get(piece[i:stop]) != top >> 40:
+            continue  # the pair that stood here has changed meanwhile
+        end[middle] = -1
         end[i] = stop
-        if stop < n:
-            back[stop] = i
-            if (rank := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (rank, i, end[stop]))
-        if (left := back[i]) >= 0 and (rank := ranks.get(piece[left:stop])) is not None:
-            heapq.heappush(heap, (rank, left, stop))
+        back[stop] = i
+        if stop < n and (rank := get(piece[i : end[stop]])) is not None:
+            push(heap, rank << 40 | i)
+        if (left := back[i]) >= 0 and (rank := get(piece[left:stop])) is not None:
+            push(heap, rank << 40 | left)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -98,7 +103,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class ByteBPE:
     """Encoder and decoder for a rank file; keeps found pre-tokens, emptied at ``limit`` entries, which changes no result."""
 
-    def __init__(self, rank_lines: bytes, pattern: str, limit: int = 400_000):
+    def __init__(self, rank_lines: bytes, pattern: str, limit: int = 1_000_000):
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
@@ -123,16 +128,22 @@ class ByteBPE:
             found[piece] = np.array(ids, dtype="<u4").tobytes(), b" ".join(b"%d" % i for i in ids)
         return found
 
-    def encode(self, text: str) -> tuple[np.ndarray, bytes]:
-        """Ids, and the ids in decimal joined by one space."""
-        pieces = self.find(text)
-        new = [p for p in set(pieces) if p not in self.kept]
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
+        """For each text its ids, and its ids in decimal joined by one space."""
+        split = [self.find(text) for text in texts]
+        new = [p for p in set().union(*split) if p not in self.kept]
         if len(self.kept) + len(new) > self.limit:
             self.kept.clear()
-            new = list(set(pieces))
+            new = list(set().union(*split))
         self.kept.update(self._resolve(new))
-        entries = list(map(self.kept.__getitem__, pieces))
-        return np.frombuffer(b"".join([e[0] for e in entries]), dtype="<u4"), b" ".join([e[1] for e in entries])
+        out = []
+        for pieces in split:
+            entries = list(map(self.kept.__getitem__, pieces))
+            out.append((np.frombuffer(b"".join([e[0] for e in entries]), dtype="<u4"), b" ".join([e[1] for e in entries])))
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, bytes]:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
@@ -156,13 +167,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         bpe = encoder(path, pattern)
         for batch in batches:
             out = {"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": []} if with_ids else {})
-            for text in column(batch, "text"):
-                ids, decimal = bpe.encode(text or "")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(decimal).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if with_ids:
-                    out["ids"].append(ids.astype(np.int32))
+            texts = [t or "" for t in column(batch, "text")]
+            for group in text_groups(texts):
+                for ids, decimal in bpe.encode_batch(texts[group]):
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(decimal).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    if with_ids:
+                        out["ids"].append(ids.astype(np.int32))
             yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

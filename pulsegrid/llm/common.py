@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,18 @@ class WordTokenizer:
         return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
+def text_groups(texts: list, characters: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of about that many characters together, so that the pieces of a whole Arrow batch are never held."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= characters:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
