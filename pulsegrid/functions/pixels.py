@@ -102,12 +102,12 @@ def bifrost(ring: Column, g: Column, unit: Column, relative: Column, resolution:
 
 
 def miracles(ring: Column, tube: Column, a: Column, b: Column, resolution: int = 128) -> Column:
-    """Single-precision position, as the read-out computes it."""
+    """The position is rounded to single precision; the rest is in double precision."""
     half = resolution // 2
-    p = (a.cast("float") / (a + b).cast("float")).cast("float")
+    p = (a.cast("double") / (a + b)).cast("float").cast("double")
     near = a >= b
     x = 2 * tube + F.when(ring.isin(1, 3), 24).otherwise(0) + F.when(near, 0).otherwise(1)
-    y = F.when(near, F.round((half - 1) - (p - F.lit(0.5).cast("float")) * 2 * (half - 1)).cast("long")).otherwise((p * 2 * (half - 1)).cast("long"))
+    y = F.when(near, F.round((half - 1) - (p - 0.5) * 2 * (half - 1)).cast("long")).otherwise((p * 2 * (half - 1)).cast("long"))
     return pixel2d(x, y + F.when(ring.isin(2, 3), half).otherwise(0), *GRIDS["miracles"])
 
 

@@ -42,7 +42,7 @@ def event_batches(df: DataFrame, source: str, reference: str, order: list[str],
     rows = df.withColumn("chunk", div(rn.cast("long") - 1, size))
     rows = rows.withColumn("_rn", rn)
     grouped = rows.groupBy(source, reference, "chunk").agg(F.sort_array(F.collect_list(F.struct("_rn", *columns))).alias("_rows"))  # at most ``size`` entries
-    return grouped.select(source, reference, "chunk", *(F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns))
+    return grouped.select(source, reference, "chunk", *(F.col("_rows")[c].alias(c) for c in columns))
 
 
 def with_message_ids(batches: DataFrame, source: str, reference: str) -> DataFrame:
