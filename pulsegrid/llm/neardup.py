@@ -7,8 +7,8 @@
    hot. Those lists are short, and two sets with similarity s over such values share none with chance (1 - s)**prefix.
 3. A node of whose sketch over two fifths is hot is also listed under its first hot values. Within such a list every node
    is paired with the one node that has most hot values (of a group of near copies, the original). Lists that still hold
-   more than one component after step 5 are compared in full: in blocks, of which a task holds two, and only pairs
-   that pass the estimate leave a task.
+   more than one component after step 5 are compared in full, on the full sets: in blocks, of which a task holds two, as
+   a product of incidence matrices; of the links found, only those that join components leave a task.
 4. The sketch of the union estimates each pair's similarity; pairs far below the threshold go.
 5. Exact Jaccard on the full sets. Only pairs whose ends are not yet in one component are confirmed, each node's most
    similar partner first; the others follow, so no link that could join two components is left out.
@@ -33,7 +33,7 @@ from pulsegrid.llm.common import column, documents, materialise
 from pulsegrid.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 85
-K, PREFIX, HOT, BLOCK = 64, 16, 50, 2000
+K, PREFIX, HOT, BLOCK, BLOCK_SHINGLES = 64, 16, 50, 2000, 4_000_000
 #: An estimate from 64 values of a true similarity of 0.85 falls below this with a chance of about one in 10**10.
 LEAST_ESTIMATE = 0.56
 MAP_BITS = 23
@@ -130,15 +130,15 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b), the links on full sets.
+def full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, items) for the nodes of ``ends``: the full set as packed 64-bit integers.
 
     The texts are read again. A bitmap of fixed size over doc_id hashes picks the classes' first documents; a bit shared by
     chance only lets more rows through to the join.
     """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = ends.join(classes.select("node", F.col("first").alias("doc_id")), "node")
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS)
-    bitmap = _bitmap(ends.join(classes.select("node", F.col("first").alias("doc_id")), "node"))
+    bitmap = _bitmap(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "doc_id": part.column(part.schema.get_field_index("doc_id")), "items": pa.array([s.tobytes() for s in found], pa.binary())})
 
     items = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(sets, "node long, doc_id long, items binary")
-    items = items.join(ends.join(classes.select("node", F.col("first").alias("doc_id")), "node"), ["node", "doc_id"], "left_semi").select("node", "items")
+    return items.join(wanted, ["node", "doc_id"], "left_semi").select("node", "items")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b), the links on full sets."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    items = full_sets(ends, docs, classes)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +180,9 @@ def _across(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
     return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _resolve(candidates: DataFrame, links: DataFrame | None, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Confirm candidates until every one is confirmed, refused, or within a component; all links, and the components."""
-    components = connected_components(links) if links is not None else None
-    first = True
+    links, components, first = None, None, True
     while True:
         left = materialise(_across(candidates, components), "left")
         if left.isEmpty():
@@ -192,39 +197,62 @@ def _resolve(candidates: DataFrame, links: DataFrame | None, docs: DataFrame, cl
         candidates, first = left.join(best, ["a", "b"], "left_anti"), False
 
 
-def _rest_of_hot_lists(hot: DataFrame, classes: DataFrame, components: DataFrame | None) -> DataFrame:
-    """Pairs (a, b, estimate) across components within hot lists that hold several components: all of them, block by block."""
+def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows of side 0 and of side 1 (of one side: among them) that join components, as a forest.
+
+    Intersections are a product of 0/1 incidence matrices over the values that occur more than once, some columns at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, column_of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row_of, shared = np.repeat(np.arange(len(sets)), sizes), times > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[column_of]
+    row_of, column_of = row_of[kept], number[column_of[kept]]
+    order = np.argsort(column_of, kind="stable")
+    row_of, column_of = row_of[order], column_of[order]
+    one, two = (side == 0, side == 1) if side.any() and not side.all() else (np.ones(len(side), bool),) * 2
+    both = np.zeros((one.sum(), two.sum()), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column_of, [start, start + 4096])
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[row_of[a:b], column_of[a:b] - start] = 1
+        both += x[one] @ x[two].T
+    linked = 100 * both >= SIMILAR * (sizes[one][:, None] + sizes[two][None, :] - both)
+    linked &= components[one][:, None] != components[two][None, :]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    out = []
+    left, right = nodes[one], nodes[two]
+    cl, cr = components[one], components[two]
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = find(int(cl[i])), find(int(cr[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(min(left[i], right[j])), int(max(left[i], right[j]))))
+    return out
+
+
+def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Links (a, b) across components within hot lists that hold several components, block by block."""
     listed = hot.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")) if components is not None else hot.withColumn("component", F.col("node"))
-    split = listed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("value", "n")
-    open_ = listed.join(split, "value").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_ = open_.join(classes.select("node", "n_shingles", "sketch"), "node")
-    first = open_.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).select("value", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"), "node", "component", "n_shingles", "sketch")
-    second = open_.withColumn("other", F.explode(F.expr("sequence(0, block)"))).where("other < block").select("value", F.col("other").alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"), "node", "component", "n_shingles", "sketch")
+    listed = listed.join(classes.select("node", "n_shingles"), "node")
+    split = listed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("low <> high").select("value", "blocks")
+    open_ = materialise(listed.join(split, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "open")
+    open_ = open_.join(full_sets(open_.select("node").distinct(), docs, classes), "node")
+    first = open_.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).select("value", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"), "node", "component", "items")
+    second = open_.withColumn("other", F.explode(F.expr("sequence(0, block)"))).where("other < block").select("value", F.col("other").alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"), "node", "component", "items")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        one, two = frame[frame.side == 0], frame[frame.side == 1]
-        two = one if frame.low.iloc[0] == frame.high.iloc[0] else two
-        codes: dict[int, list[int]] = {}
-        for j, sketch in enumerate(two.sketch):
-            for v in sketch:
-                codes.setdefault(int(v), []).append(j)
-        codes = {v: np.array(js) for v, js in codes.items()}
-        size, component, node = two.n_shingles.to_numpy(), two.component.to_numpy(), two.node.to_numpy()
-        sketches, out = list(two.sketch), []
-        for mine, my_component, n, sketch in zip(one.node, one.component, one.n_shingles, one.sketch):
-            overlap = np.zeros(len(two), np.int64)
-            for v in sketch:
-                if (js := codes.get(int(v))) is not None:
-                    overlap[js] += 1
-            fits = (component != my_component) & (100 * np.minimum(size, n) >= SIMILAR * np.maximum(size, n)) & (overlap >= 0.4 * len(sketch))
-            for j in np.flatnonzero(fits & ((node > mine) if two is one else True)):
-                union = np.union1d(sketch, sketches[j])[:K]
-                estimate = len(np.intersect1d(union, np.intersect1d(sketch, sketches[j]))) / len(union)
-                if estimate >= LEAST_ESTIMATE:
-                    out.append((min(mine, node[j]), max(mine, node[j]), estimate))
-        return pd.DataFrame(out, columns=["a", "b", "estimate"]).astype({"a": "int64", "b": "int64", "estimate": "float64"})
-
-    return first.unionByName(second).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long, estimate double").distinct()
+        frame = frame.drop_duplicates(["node", "side"])
+        found = joining_links(frame.node.to_numpy(), frame.component.to_numpy(), [np.frombuffer(x, np.int64) for x in frame["items"]], frame.side.to_numpy()) if frame.low.iloc[0] == frame.high.iloc[0] or frame.side.nunique() == 2 else []
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return first.unionByName(second).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -235,10 +263,10 @@ def decisions(docs: DataFrame) -> DataFrame:
     pairs, hot = candidate_pairs(classes)
     hot = materialise(hot, "hot")
     candidates = materialise(estimated(pairs, classes), "candidates")
-    links, components = _resolve(candidates, None, docs, classes)
-    rest = materialise(_rest_of_hot_lists(hot, classes, components).join(candidates, ["a", "b"], "left_anti"), "rest")
+    links, components = _resolve(candidates, docs, classes)
+    rest = materialise(_rest_of_hot_lists(hot, docs, classes, components), "rest")
     if not rest.isEmpty():
-        links, components = _resolve(rest, links, docs, classes)
+        components = connected_components(rest if links is None else links.unionByName(rest))
     named = classes.select("node", "check", "first")
     if components is not None:
         labels = components.join(classes.select("node", "first"), "node")
