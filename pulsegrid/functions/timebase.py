@@ -21,12 +21,12 @@ def div(a: Column | str, b: Column | str | int) -> Column:
     return long((a - a % b) / b)
 
 
-def ess_to_ns(high: Column, low: Column) -> Column:
+def clock_to_ns(high: Column, low: Column) -> Column:
     """Seconds and clock ticks to nanoseconds; the fraction of a nanosecond is cut."""
     return long(high) * 1_000_000_000 + long(long(low) * F.lit(NS_PER_TICK))
 
 
-def ns_to_ess(ns: Column) -> Column:
+def ns_to_clock(ns: Column) -> Column:
     """Nanoseconds to (high, low); ticks are rounded, and a full second of ticks is carried."""
     ticks = long(F.round((ns % 1_000_000_000) / F.lit(NS_PER_TICK)))
     second = div(ns, 1_000_000_000)
@@ -43,8 +43,8 @@ def add_ns(high: Column, low: Column, ns: Column) -> Column:
 
 def quantised(ns: Column) -> Column:
     """Nanoseconds after a round trip through clock ticks, as strip detectors see their times."""
-    there = ns_to_ess(ns)
-    return ess_to_ns(there["high"], there["low"])
+    there = ns_to_clock(ns)
+    return clock_to_ns(there["high"], there["low"])
 
 
 def tof(time: Column, pulse: Column, previous: Column, longest: int = MAX_TOF_NS) -> Column:

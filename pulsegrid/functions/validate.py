@@ -122,9 +122,9 @@ def timepix(x: Column, y: Column, nx: int, ny: int, scale: int, global_time: Col
 
 def packet_header(h, expected_type: int, size: Column, longest_ns: int = 5 * 71_428_571) -> Rules:
     """Header rules in order. ``h`` gives a header field as a Column by name; ``size`` is the payload's length."""
-    from pulsegrid.functions.timebase import ess_to_ns
+    from pulsegrid.functions.timebase import clock_to_ns
 
-    pulse, previous = ess_to_ns(h("pulse_high"), h("pulse_low")), ess_to_ns(h("prev_high"), h("prev_low"))
+    pulse, previous = clock_to_ns(h("pulse_high"), h("pulse_low")), clock_to_ns(h("prev_high"), h("prev_low"))
     return [
         ("empty", size.isNull() | (size == 0)),
         ("size", (size < 5) | (size > 8972)),

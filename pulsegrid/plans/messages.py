@@ -32,10 +32,10 @@ def monitor_histograms(spark, d):
     return out.withColumns({n: F.to_json(n) for n in ("x_strips", "y_strips", "x_adcs", "y_adcs")})
 
 
-@query("metric_lines", "SELECT 'efu.' || event_type || ' ' || count(*) || ' 1700000000' AS line FROM events GROUP BY event_type")
+@query("metric_lines", "SELECT 'monitor.' || event_type || ' ' || count(*) || ' 1700000000' AS line FROM events GROUP BY event_type")
 def metric_lines(spark, d):
     counted = table(spark, d, "events").groupBy(c("event_type").alias("reason")).agg(F.count("*").alias("n"))
-    return sinks.metric_lines(counted, "efu", F.lit(1700000000))
+    return sinks.metric_lines(counted, "monitor", F.lit(1700000000))
 
 
 _SIDES = H + ", e AS (SELECT time AS et, coordinate AS ev FROM hits WHERE module = 'view'), t AS (SELECT time AS tt, weight AS tv FROM hits WHERE module = 'click')"

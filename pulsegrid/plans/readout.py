@@ -37,14 +37,14 @@ def tof_counters(spark, d):
     return V.counters(_tof(spark, d).select(c("t.reject").alias("reject_reason")))
 
 
-@query("ess_time_roundtrip", """WITH t AS (SELECT o_orderkey, epoch_us(o_orderdate) * 1000 + o_orderkey * 104729 AS ns FROM orders), e AS (SELECT *, ns // 1000000000 AS high0, CAST(round((ns % 1000000000) / (1e9::DOUBLE / 88052500)) AS BIGINT) AS tick FROM t),
+@query("clock_roundtrip", """WITH t AS (SELECT o_orderkey, epoch_us(o_orderdate) * 1000 + o_orderkey * 104729 AS ns FROM orders), e AS (SELECT *, ns // 1000000000 AS high0, CAST(round((ns % 1000000000) / (1e9::DOUBLE / 88052500)) AS BIGINT) AS tick FROM t),
  f AS (SELECT *, high0 + CASE WHEN tick >= 88052500 THEN 1 ELSE 0 END AS high, tick - CASE WHEN tick >= 88052500 THEN 88052500 ELSE 0 END AS low FROM e)
  SELECT o_orderkey, high, low, high * 1000000000 + CAST(trunc(low * (1e9::DOUBLE / 88052500)) AS BIGINT) AS ns FROM f""")
-def ess_time_roundtrip(spark, d):
+def clock_roundtrip(spark, d):
     from pulsegrid.plans.fixtures import micros
 
-    rows = table(spark, d, "orders").select("o_orderkey", T.ns_to_ess(micros("o_orderdate") * 1000 + c("o_orderkey") * 104729).alias("e"))
-    return rows.select("o_orderkey", "e.high", "e.low", T.ess_to_ns(c("e.high"), c("e.low")).alias("ns"))
+    rows = table(spark, d, "orders").select("o_orderkey", T.ns_to_clock(micros("o_orderdate") * 1000 + c("o_orderkey") * 104729).alias("e"))
+    return rows.select("o_orderkey", "e.high", "e.low", T.clock_to_ns(c("e.high"), c("e.low")).alias("ns"))
 
 
 # validation ----------------------------------------------------------------------------------------------------------------

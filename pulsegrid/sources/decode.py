@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.timebase import TICKS, div, ess_to_ns
+from pulsegrid.functions.timebase import TICKS, div, clock_to_ns
 from pulsegrid.functions.validate import first_reject, packet_header
 from pulsegrid.sources.layouts import EVR, HEADER, LAYOUTS, SIZES
 
@@ -35,7 +35,7 @@ def with_header(packets: DataFrame, expected_type: int, payload: str = "payload"
     start = F.when(F.col("hdr.version") == 0, 31).otherwise(33)
     return rows.withColumns({
         "data": raw.substr(start, F.greatest(size - start + 1, F.lit(0))),
-        "pulse": ess_to_ns(F.col("hdr.pulse_high"), F.col("hdr.pulse_low")), "previous": ess_to_ns(F.col("hdr.prev_high"), F.col("hdr.prev_low")),
+        "pulse": clock_to_ns(F.col("hdr.pulse_high"), F.col("hdr.pulse_low")), "previous": clock_to_ns(F.col("hdr.prev_high"), F.col("hdr.prev_low")),
     })
 
 

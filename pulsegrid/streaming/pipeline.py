@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.functions import pixels as P
 from pulsegrid.functions import validate as V
-from pulsegrid.functions.timebase import ess_to_ns, quantised, tof
+from pulsegrid.functions.timebase import clock_to_ns, quantised, tof
 from pulsegrid.sources import decode
 
 VERSION = "0.1"
@@ -49,7 +49,7 @@ def caen_rows(packets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFr
         "bifrost": lambda: V.bifrost(c("fiber"), c("fen"), g, a, b), "miracles": lambda: V.miracles(c("fiber"), a, b),
         "cspec": lambda: V.cspec(c("fiber"), c("fen"), g), "loki": lambda: V.ring_fen(V.ring(c("fiber")), c("fen"), 11, 11), "tbl3he": lambda: V.group(g, 3),
     }[settings.detector]()
-    flight = tof(ess_to_ns(c("time_high"), c("time_low")), c("pulse"), c("previous"), settings.longest_tof_ns)
+    flight = tof(clock_to_ns(c("time_high"), c("time_low")), c("pulse"), c("previous"), settings.longest_tof_ns)
     rows = rows.withColumn("t", flight)
     rows = rows.withColumn("reject_reason", F.coalesce("reject_reason", V.first_reject(rules), c("t.reject"))).withColumn("tof", c("t.tof")).drop("t")
     return V.accepted(rows), rows
@@ -79,7 +79,7 @@ def vmm_hits(packets: DataFrame, settings: Settings, hybrids: DataFrame) -> Data
     rows = V.accepted(V.with_reject(rows, [*V.vmm_family(c("ring"), c("fen"), c("number"), c("vmm"), c("channel")), *V.adc_threshold(c("otadc"), threshold)]))
     x_plane = c("asic") == 1
     coordinate = F.when(x_plane, P.strip(c("x_offset"), c("channel"))).otherwise(P.wire(c("y_offset"), c("channel")))
-    time = quantised(ess_to_ns(c("time_high"), c("time_low")))
+    time = quantised(clock_to_ns(c("time_high"), c("time_low")))
     return rows.select("packet_id", "pulse", "previous", c("number").alias("module"), F.when(x_plane, 0).otherwise(1).alias("plane"), c("pos").alias("seq"), time.alias("time"), coordinate.cast("int").alias("coordinate"), P.adc10(c("otadc")).alias("weight"))
 
 

@@ -71,7 +71,7 @@ def test_encode_is_the_inverse(spark):
 
 def test_tof_limit_is_inclusive(spark):
     longest = 20 * 71_428_571
-    rows = spark.createDataFrame([(37736785,), (37736786,)], "low long").select(T.tof(T.ess_to_ns(F.lit(1001), F.col("low")), F.lit(1000 * 10**9), F.lit(1000 * 10**9), longest).alias("t")).collect()
+    rows = spark.createDataFrame([(37736785,), (37736786,)], "low long").select(T.tof(T.clock_to_ns(F.lit(1001), F.col("low")), F.lit(1000 * 10**9), F.lit(1000 * 10**9), longest).alias("t")).collect()
     assert [(r.t.tof, r.t.reject) for r in rows] == [(1428571420, None), (None, "tof_high")]
 
 
@@ -81,7 +81,7 @@ def test_previous_pulse(spark):
 
 
 def test_time_carries(spark):
-    row = spark.range(1).select(T.ns_to_ess(F.lit(1_999_999_999).cast("long")).alias("a"), T.add_ns(F.lit(1), F.lit(T.TICKS - 1), F.lit(1_000_000_100).cast("long")).alias("b"), T.hz_to_ns(F.lit(14)).alias("c")).first()
+    row = spark.range(1).select(T.ns_to_clock(F.lit(1_999_999_999).cast("long")).alias("a"), T.add_ns(F.lit(1), F.lit(T.TICKS - 1), F.lit(1_000_000_100).cast("long")).alias("b"), T.hz_to_ns(F.lit(14)).alias("c")).first()
     assert (tuple(row.a), tuple(row.b), row.c) == ((2, 0), (3, 7), 71428571)
 
 
