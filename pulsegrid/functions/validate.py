@@ -120,6 +120,12 @@ def timepix(x: Column, y: Column, nx: int, ny: int, scale: int, global_time: Col
     return [("x", x >= nx * scale), ("y", y >= ny * scale), ("no_global_time", global_time.isNull())]
 
 
+def time_source(source: Column) -> Rules:
+    """Faults of the time-source byte: a sync source or a timing status without a time source, and fibres out of sync."""
+    bit = lambda value: source.cast("int").bitwiseAND(value) != 0
+    return [("sync_source", ~bit(1) & bit(2)), ("timing_status", ~bit(1) & bit(8)), ("even_fibre_sync", bit(32)), ("odd_fibre_sync", bit(128))]
+
+
 def packet_header(h, expected_type: int, size: Column, longest_ns: int = 5 * 71_428_571) -> Rules:
     """Header rules in order. ``h`` gives a header field as a Column by name; ``size`` is the payload's length."""
     from pulsegrid.functions.timebase import clock_to_ns
@@ -135,6 +141,7 @@ def packet_header(h, expected_type: int, size: Column, longest_ns: int = 5 * 71_
         ("length", size != h("total_length")),
         ("type", h("type") != expected_type),
         ("queue", h("queue") >= 12),
+        *time_source(h("time_source")),
         ("pulse_ticks", h("pulse_low") >= TICKS),
         ("prev_ticks", h("prev_low") >= TICKS),
         ("pulse_gap", pulse - previous > longest_ns),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timebase import TICKS, div, clock_to_ns
-from pulsegrid.functions.validate import first_reject, packet_header
+from pulsegrid.functions.validate import first_reject, packet_header, time_source
 from pulsegrid.sources.layouts import EVR, HEADER, LAYOUTS, SIZES
 
 
@@ -40,10 +40,8 @@ def with_header(packets: DataFrame, expected_type: int, payload: str = "payload"
 
 
 def time_source_flags(source: Column) -> Column:
-    """Names of inconsistent time-source bits: a sync or status bit without its source bit, for the even and odd fibre."""
-    bit = lambda i: F.shiftright(source.cast("int"), i).bitwiseAND(1) == 1
-    odd = [("sync_main", bit(2) & ~bit(0)), ("sync_second", bit(3) & ~bit(1)), ("status_main", bit(4) & ~bit(0)), ("status_second", bit(5) & ~bit(1))]
-    return F.array_compact(F.array(*(F.when(bad, name) for name, bad in odd)))
+    """Names of all time-source faults of a packet; any of them rejects it."""
+    return F.array_compact(F.array(*(F.when(bad, name) for name, bad in time_source(source))))
 
 
 def _rules(kind: str, monitor: bool = False) -> list[tuple[str, Column]]:
@@ -63,19 +61,21 @@ def _rules(kind: str, monitor: bool = False) -> list[tuple[str, Column]]:
 def readouts(packets: DataFrame, kind: str, keys: list[str], data: str = "data", monitor: bool = False, only_kinds: list[int] | None = None) -> DataFrame:
     """One row a record with ``pos`` and ``reject_reason``; ``keys`` are carried along.
 
-    Null reason: accepted. Strict formats give every record after the first bad one the reason ``after_bad``. A VMM3 or beam
+    Null reason: accepted. Strict formats give every record after the first bad one the reason ``after_bad``, and a rest that
+    is too short for a record the reason ``truncated``. A VMM3 or beam
     monitor payload whose length is not a whole number of records is one row with reason ``payload_size``.
     """
     size, whole = SIZES[kind], kind in ("vmm3", "cbm")
     length = F.length(data)
-    count = div(length, size)
+    count = div(length, size) if whole else div(length + size - 1, size)
     wrong = (length % size != 0) if whole else F.lit(False)
     positions = F.when(wrong | (count == 0), F.when(wrong, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).otherwise(F.sequence(F.lit(0), count.cast("int") - 1))
     rows = packets.select(*keys, F.col(data).alias("_d"), wrong.alias("_wrong"), F.explode(positions).alias("pos"))
     record = F.col("_d").substr(F.col("pos") * size + 1, F.lit(size))
     rows = rows.select(*keys, "pos", "_wrong", "_d", record.alias("_r")).select(*keys, "pos", "_wrong", "_d", *fields(F.col("_r"), LAYOUTS[kind]))
     rules = _rules(kind, monitor) + ([("kind", ~F.col("kind").isin(only_kinds))] if only_kinds else [])
-    reason = F.when(F.col("_wrong"), "payload_size").otherwise(first_reject(rules))
+    short = F.length("_d") - F.col("pos") * size < size
+    reason = F.when(F.col("_wrong"), "payload_size").when(short, "truncated").otherwise(first_reject(rules))
     rows = rows.withColumn("reject_reason", reason)
     if kind != "vmm3":
         rows = _after_first_bad(rows, keys)
@@ -104,6 +104,7 @@ def normalised(value: Column, mca_sum: Column, enabled: Column) -> Column:
 
 # Fixed values of the pixel camera's words: (field, first bit, bits).
 PIXEL_BITS = [("dcol", 53, 7), ("spix", 47, 6), ("pix", 44, 3), ("toa", 30, 14), ("tot", 20, 10), ("ftoa", 16, 4), ("spidr", 0, 16)]
+SCALES = {"dcol": 2, "spix": 4}  # columns come in pairs, and superpixels are four rows high
 TDC_BITS = [("tdc_type", 56, 4), ("trigger", 44, 12), ("timestamp", 9, 35), ("stamp", 5, 4)]
 PIXEL_WORD, TDC_WORD, TDC_TYPES = 11, 6, (15, 10, 14, 11)
 
@@ -124,5 +125,5 @@ def camera_words(packets: DataFrame, keys: list[str], payload: str = "payload")
     words = words.select(*keys, "pos", word.alias("word")).withColumn("_top", _bits(F.col("word"), 60, 4))
     tdc = (F.col("_top") == TDC_WORD) & _bits(F.col("word"), 56, 4).isin(*TDC_TYPES)
     words = words.withColumn("kind", F.when(F.col("_top") == PIXEL_WORD, "pixel").when(tdc, "tdc").otherwise("undefined"))
-    values = [F.when(F.col("kind") == kind, _bits(F.col("word"), at, n)).alias(name) for kind, layout in (("pixel", PIXEL_BITS), ("tdc", TDC_BITS)) for name, at, n in layout]
+    values = [F.when(F.col("kind") == kind, _bits(F.col("word"), at, n) * SCALES.get(name, 1)).alias(name) for kind, layout in (("pixel", PIXEL_BITS), ("tdc", TDC_BITS)) for name, at, n in layout]
     return words.select(*keys, "pos", "kind", *values).unionByName(evr, allowMissingColumns=True)

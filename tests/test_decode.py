@@ -38,7 +38,9 @@ def test_header_rules(spark):
 def test_strict_format_gives_up_and_keeps_the_prefix(spark):
     data = caen(amps=(1, -2, 3, -4)) + caen(fen=24) + caen() + b"xx"
     rows = decode.readouts(spark.createDataFrame([(1, data), (2, b"")], "packet_id long, data binary"), "caen", ["packet_id"]).orderBy("pos").collect()
-    assert [r.reject_reason for r in rows] == [None, "fen", "after_bad"]
+    assert [r.reject_reason for r in rows] == [None, "fen", "after_bad", "after_bad"]
+    short = decode.readouts(spark.createDataFrame([(1, caen() + b"xx")], "packet_id long, data binary"), "caen", ["packet_id"]).orderBy("pos").collect()
+    assert [r.reject_reason for r in short] == [None, "truncated"]
     assert (rows[0].amp_a, rows[0].amp_b, rows[0].amp_c, rows[0].amp_d, rows[0].time_high) == (1, -2, 3, -4, 1001)
 
 
@@ -59,7 +61,7 @@ def test_camera_words(spark):
     rows = {(r.packet_id, r.pos): r for r in decode.camera_words(packets(spark, [data, evr]), ["packet_id"]).collect()}
     assert [rows[0, i].kind for i in range(4)] == ["pixel", "tdc", "undefined", "pixel"]
     p, t, e = rows[0, 0], rows[0, 1], rows[1, 0]
-    assert (p.dcol, p.spix, p.pix, p.toa, p.tot, p.ftoa, p.spidr) == (3, 2, 5, 100, 7, 1, 9)
+    assert (p.dcol, p.spix, p.pix, p.toa, p.tot, p.ftoa, p.spidr) == (6, 8, 5, 100, 7, 1, 9)
     assert (t.trigger, t.timestamp, t.stamp) == (17, 12345, 3)
     assert (e.kind, e.counter, e.pulse_s, e.prev_ns) == ("evr", 42, 10, 8)
 
@@ -110,8 +112,8 @@ def test_strip_pipeline(spark):
 
 
 def test_time_source_flags(spark):
-    rows = spark.createDataFrame([(0,), (4,), (5,), (40,)], "b int").select(decode.time_source_flags(F.col("b"))).collect()
-    assert [r[0] for r in rows] == [[], ["sync_main"], [], ["sync_second", "status_second"]]
+    rows = spark.createDataFrame([(0,), (2,), (3,), (8,), (32 + 128 + 1,)], "b int").select(decode.time_source_flags(F.col("b"))).collect()
+    assert [r[0] for r in rows] == [[], ["sync_source"], [], ["timing_status"], ["even_fibre_sync", "odd_fibre_sync"]]
 
 
 def test_counters(spark):
