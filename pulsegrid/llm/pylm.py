@@ -56,7 +56,7 @@ BURN_IN, SAMPLES = 2, 3
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word) >> (64 - BITS)
         return found
@@ -200,7 +200,7 @@ def _hot_contexts(docs: DataFrame, rows: int = 2000, share: float = 0.002) -> np
 PACKETS = "bucket int, kind int, batch long, blob binary"
 
 
-def score_documents(docs: DataFrame, bucket_tokens: int = 3_000_000, batch_tokens: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, bucket_tokens: int = 1_500_000, batch_tokens: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text)."""
     hot = _hot_contexts(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
