@@ -42,31 +42,73 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, each distinct white-space chunk encoded once.
 
-    ASCII white space always ends a match of the tokenizer's pattern and blocks Unicode composition, so a text's
-    ids are those of its chunks in order. The cache is emptied when it reaches ``limit`` chunks, which bounds memory
-    and changes no result. Chunks beyond 256 bytes are encoded but not kept.
+    ASCII white space always ends a match of the tokenizer's pattern and blocks Unicode composition, and the tokenizer
+    lower-cases, so a text's ids are those of its lower-cased chunks in order. New chunks go to the library many at a time:
+    a chunk of letters a-z is one match, so its ids end with the first that ends a word; the others are joined by a
+    separator whose one id cuts the result. A stop or comma after a letter is a match of its own, so such a chunk's ids are
+    those of the chunk before it and of the mark. The cache is emptied when it reaches ``limit`` chunks, which bounds memory and
+    changes no result; chunks beyond 256 bytes are encoded but not kept.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    SEPARATOR = b"\x01"
+
+    def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.model, self.limit, self.kept = Tokenizer.from_file(path), limit, {}
+        (self.cut,) = self._ids(self.SEPARATOR)
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, chunk: bytes) -> list[int]:
+        return self.model.encode(chunk.decode(), add_special_tokens=False).ids
+
+    def _joined(self, chunks: list[bytes], between: bytes, many: int = 256) -> list[np.ndarray]:
+        groups = [between.join(chunks[i : i + many]).decode() for i in range(0, len(chunks), many)]
+        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch(groups, add_special_tokens=False)]
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk as bytes."""
+        words = [c for c in chunks if c.isalpha()]
+        marked = [c for c in chunks if not c.isalpha() and self.SEPARATOR not in c]
+        found = {}
+        if words:
+            ids = np.concatenate(self._joined(words, b" "))
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            found |= zip(words, map(raw.__getitem__, map(slice, [0, *stops], stops)))
+        if marked:
+            ids = np.concatenate([np.append(g, self.cut) for g in self._joined(marked, b" " + self.SEPARATOR + b" ")])
+            cuts = (np.flatnonzero(ids == self.cut) * 4).tolist()
+            raw = ids.astype("<u4").tobytes()
+            found |= zip(marked, map(raw.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], cuts)))
+        for c in chunks:
+            if self.SEPARATOR in c:
+                found[c] = np.array(self._ids(c), dtype="<u4").tobytes()
+        return list(map(found.__getitem__, chunks))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of ``text`` (null: empty) as uint32."""
-        chunks = (text or "").encode("utf-8", "replace").split()
-        kept = self.kept
-        missing = [c for c in set(chunks) if c not in kept]
-        long = {}
-        if missing:
-            if len(kept) + len(missing) > self.limit:
-                kept.clear()
-                missing = list(set(chunks))
-            found = self.model.encode_batch([c.decode() for c in missing], add_special_tokens=False)
-            for chunk, ids in zip(missing, found):
-                (kept if len(chunk) <= 256 else long)[chunk] = np.array(ids.ids, dtype="<u4").tobytes()
-        parts = [kept[c] if c in kept else long[c] for c in chunks] if long else map(kept.__getitem__, chunks)
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]  # names of special tokens keep their case
+        kept, used = self.kept, set().union(*split)
+        missing = used.difference(kept)
+        if len(kept) + len(missing) > self.limit:
+            kept.clear()
+            missing = used
+        marked = [c for c in missing if c.endswith((b".", b",")) and c[-2:-1].isalpha()]
+        stems = [c[:-1] for c in marked]
+        whole = list(missing.difference(marked).union(set(stems).difference(kept), (b".", b",")))
+        kept.update(zip(whole, self._encode(whole)))
+        kept.update((c, kept[stem] + kept[c[-1:]]) for c, stem in zip(marked, stems))
+        here = dict(zip(used, map(kept.__getitem__, used)))  # small, so that the many look-ups below stay in cache
+        for c in [c for c in missing if len(c) > 256]:
+            kept.pop(c, None)
+        return [np.frombuffer(b"".join(map(here.__getitem__, chunks)), dtype="<u4") for chunks in split]
 
 
 def text_groups(texts: list, characters: int = 4_000_000) -> Iterator[slice]:

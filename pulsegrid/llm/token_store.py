@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import column, documents, shared_path, word_tokenizer
+from pulsegrid.llm.common import column, documents, shared_path, text_groups, word_tokenizer
 
 HEADER = struct.Struct("<4sIIB3xqQQQ")
 SAMPLE = 64
@@ -148,14 +148,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("segment", pa.binary())])
         for batch in batches:
-            for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                ids = np.concatenate([words.encode(text), end])
-                keys.append(doc_id)
-                held.append(ids)
-                count += len(ids)
-                if count >= segment_ids:
-                    yield cut()
-                    seq, start, keys, held, count = seq + 1, start + count, [], [], 0
+            doc_ids, texts = column(batch, "doc_id"), column(batch, "text")
+            for group in text_groups(texts):
+                for doc_id, found in zip(doc_ids[group], words.encode_all(texts[group])):
+                    ids = np.concatenate([found, end])
+                    keys.append(doc_id)
+                    held.append(ids)
+                    count += len(ids)
+                    if count >= segment_ids:
+                        yield cut()
+                        seq, start, keys, held, count = seq + 1, start + count, [], [], 0
         if keys:
             yield cut()
 
