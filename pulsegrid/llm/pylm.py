@@ -175,26 +175,21 @@ class Bucket:
         return np.bincount(self.w, self.c, minlength=len(self.words)).astype(np.int64)
 
 
-def _hot_contexts(docs: DataFrame, rows: int = 2000, share: float = 0.002) -> np.ndarray:
+def _hot_contexts(docs: DataFrame, n_docs: int, rows: int = 2000, share: float = 0.002) -> np.ndarray:
     """Hashes of words that make up at least ``share`` of a sample of about ``rows`` documents; at most 1 / share of them."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = {}
+        found: dict[int, int] = {}
         for batch in batches:
             for text in column(batch, "text"):
                 for w in (text or "").encode("utf-8", "replace").lower().split():
-                    found[w] = found.get(w, 0) + 1
-        least = sum(found.values()) * share / 4
-        top = {w: n for w, n in found.items() if n >= least}
-        yield pa.RecordBatch.from_pydict({"w": pa.array([_WORDS[w] for w in top], pa.int64()), "n": pa.array(top.values(), pa.int64()), "total": pa.array([sum(found.values())] * len(top), pa.int64())})
+                    found[_WORDS[w]] = found.get(_WORDS[w], 0) + 1
+        yield pa.RecordBatch.from_pydict({"w": pa.array([*found, -1], pa.int64()), "n": pa.array([*found.values(), sum(found.values())], pa.int64())})
 
-    fraction = min(1.0, rows / max(1, docs.count()))
-    sample = docs.select("text").sample(fraction, seed=7).coalesce(8).mapInArrow(tally, "w long, n long, total long").collect()  # at most 4 / share rows a task
-    total = max(1, sum({r["total"] for r in sample}))
-    sums: dict[int, int] = {}
-    for r in sample:
-        sums[r["w"]] = sums.get(r["w"], 0) + r["n"]
-    return np.array([int(START), *(w for w, n in sums.items() if n >= share * total)], dtype=np.uint64)
+    sample = docs.select("text").sample(min(1.0, rows / max(1, n_docs)), seed=7).mapInArrow(tally, "w long, n long")
+    most = sample.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(int(1 / share) + 1).collect()  # the total comes first
+    total = max((r["n"] for r in most if r["w"] < 0), default=0)
+    return np.array([int(START), *(r["w"] for r in most if r["w"] >= 0 and r["n"] >= share * total)], dtype=np.uint64)
 
 
 PACKETS = "bucket int, kind int, batch long, blob binary"
@@ -202,8 +197,8 @@ PACKETS = "bucket int, kind int, batch long, blob binary"
 
 def score_documents(docs: DataFrame, bucket_tokens: int = 1_500_000, batch_tokens: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text)."""
-    hot = _hot_contexts(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    hot = _hot_contexts(docs, n_docs)
     buckets = max(4, int(size / 6 / bucket_tokens) + 1)  # about six bytes a word
     marked = docs.select("doc_id", "text", F.coalesce(remainder(7) != 2, F.lit(True)).alias("learned"))
 
