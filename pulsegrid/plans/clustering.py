@@ -199,7 +199,11 @@ def center_match(spark, d):
     return M.center_match(rows, ["module", "packet_id"], MINUTE)
 
 
-@query("seed_cluster_2d")
+@query("seed_cluster_2d", TIMED.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT module, plane, tc_id, seq, coordinate // 8 AS x, coordinate % 8 AS y, row_number() OVER (PARTITION BY module, plane, tc_id ORDER BY time, seq) AS i FROM tc),
+ r AS (SELECT module, plane, tc_id, i, seq, seq AS seed, [{'seq': seq, 'x': x, 'y': y}] AS seeds FROM o WHERE i = 1 UNION ALL
+ SELECT module, plane, tc_id, i, seq, coalesce(near.seq, seq), CASE WHEN near IS NULL THEN list_append(seeds, {'seq': seq, 'x': x, 'y': y}) ELSE seeds END
+ FROM (SELECT o.*, r.seeds, list_filter(r.seeds, lambda s: (s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y) < 9)[1] AS near FROM r JOIN o ON o.module = r.module AND o.plane = r.plane AND o.tc_id = r.tc_id AND o.i = r.i + 1))
+ SELECT module, plane, tc_id AS time_cluster, seq, seed FROM r""")
 def seed_cluster_2d(spark, d):
     rows = timed(spark, d).withColumns({"x": F.floor(F.col("coordinate") / 8).cast("int"), "y": F.col("coordinate") % 8})
     return C.seed_clusters(rows, [*KEYS, "time_cluster"], 3)

@@ -357,7 +357,12 @@ def as_of_pulse(spark, d):
     return S.as_of(hits(spark, d), pulses, "time", "pt", ["o_orderkey"], 10 * DAY).select("seq", "time", "pt", "o_orderkey")
 
 
-@query("counter_gap_fold")
+@query("counter_gap_fold", "WITH RECURSIVE " + HITS + """, o AS (SELECT module, time // 3600000000 AS hour, seq % 11 AS c, row_number() OVER (PARTITION BY module, time // 3600000000 ORDER BY time, seq) AS i FROM hits),
+ r AS (SELECT module, hour, i, c AS last, 1 AS ok, 0 AS dropped, 0::BIGINT AS missed FROM o WHERE i = 1 UNION ALL
+ SELECT o.module, o.hour, o.i, CASE WHEN o.c <= r.last AND o.c NOT IN (0, 1) THEN r.last ELSE o.c END, CASE WHEN o.c <= r.last AND o.c NOT IN (0, 1) THEN r.ok ELSE r.ok + 1 END,
+ CASE WHEN o.c <= r.last AND o.c NOT IN (0, 1) THEN r.dropped + 1 ELSE r.dropped END, CASE WHEN o.c > r.last + 1 THEN r.missed + o.c - r.last - 1 ELSE r.missed END
+ FROM r JOIN o ON o.module = r.module AND o.hour = r.hour AND o.i = r.i + 1)
+ SELECT module, hour, arg_max(ok, i)::BIGINT AS accepted, arg_max(dropped, i)::BIGINT AS dropped, arg_max(missed, i)::BIGINT AS missed FROM r GROUP BY ALL""")
 def counter_gap_fold(spark, d):
     rows = hits(spark, d).withColumns({"hour": T.div(c("time"), 3_600_000_000), "counter": c("seq") % 11})
     return S.counter_gaps(rows, ["module", "hour"], "counter", ["time", "seq"])
