@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -71,8 +72,8 @@ class WordTokenizer:
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk as bytes."""
         words = [c for c in chunks if c.isalpha()]
-        marked = [c for c in chunks if not c.isalpha() and self.SEPARATOR not in c]
-        found = {}
+        marked = [c for c in chunks if c and not c.isalpha() and self.SEPARATOR not in c]
+        found = {b"": b""}
         if words:
             ids = np.concatenate(self._joined(words, b" "))
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
@@ -92,35 +93,51 @@ class WordTokenizer:
         """Ids of ``text`` (null: empty) as uint32."""
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        split = [(r if b"<|" in r else r.lower()).split() for r in raw]  # names of special tokens keep their case
-        kept, used = self.kept, set().union(*split)
-        missing = used.difference(kept)
+    def _look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks, kept or new."""
+        kept = self.kept
+        missing = {c for c in chunks if c not in kept}
         if len(kept) + len(missing) > self.limit:
             kept.clear()
-            missing = used
+            missing = set(chunks)
         marked = [c for c in missing if c.endswith((b".", b",")) and c[-2:-1].isalpha()]
         stems = [c[:-1] for c in marked]
         whole = list(missing.difference(marked).union(set(stems).difference(kept), (b".", b",")))
         kept.update(zip(whole, self._encode(whole)))
         kept.update((c, kept[stem] + kept[c[-1:]]) for c, stem in zip(marked, stems))
-        here = dict(zip(used, map(kept.__getitem__, used)))  # small, so that the many look-ups below stay in cache
+        out = list(map(kept.__getitem__, chunks))
         for c in [c for c in missing if len(c) > 256]:
             kept.pop(c, None)
-        return [np.frombuffer(b"".join(map(here.__getitem__, chunks)), dtype="<u4") for chunks in split]
-
-
-def text_groups(texts: list, characters: int = 4_000_000) -> Iterator[slice]:
-    """Runs of texts of about that many characters together, so that the pieces of a whole Arrow batch are never held."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= characters:
+        return out
+
+    def encode_all(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text (null: empty). Arrow splits the texts and numbers their chunks; a gather puts the ids in place."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # names of special tokens keep their case
+        split = pc.ascii_split_whitespace(lowered)
+        numbered = split.flatten().dictionary_encode()
+        found = self._look_up(numbered.dictionary.cast(pa.binary()).to_pylist())
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        chunk = numbered.indices.to_numpy(zero_copy_only=False)
+        each = sizes[chunk]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[chunk] - (ends - each), each) + np.arange(each.sum())]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def text_groups(texts: pa.Array | list[str], size: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of about that many characters (bytes, of an Arrow array) together: a batch's pieces are never held at once."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
+    start, held = 0, 0
+    for i, length in enumerate(lengths):
+        held += length
+        if held >= size:
             yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+            start, held = i + 1, 0
+    if start < len(lengths):
+        yield slice(start, len(lengths))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -148,7 +148,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("segment", pa.binary())])
         for batch in batches:
-            doc_ids, texts = column(batch, "doc_id"), column(batch, "text")
+            doc_ids, texts = column(batch, "doc_id"), batch.column(batch.schema.get_field_index("text"))
             for group in text_groups(texts):
                 for doc_id, found in zip(doc_ids[group], words.encode_all(texts[group])):
                     ids = np.concatenate([found, end])

@@ -70,4 +70,13 @@ def test_chunks_equal_whole_text(text):
     assert MODEL.encode(text).tolist() == expected
 
 
+AWKWARD_TEXT = st.text(alphabet="ab'sé.,\x01\x1c\x0b\x0c\xa0\u0301 <|>\n\tÀZQ0", max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(AWKWARD_TEXT | st.sampled_from(["<|endoftext|>", "X<|STARTOFTEXT|>Y.", "it's. The,"]), max_size=5))
+def test_batches_of_awkward_texts(texts):
+    assert [ids.tolist() for ids in MODEL.encode_all(texts)] == [MODEL.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 MODEL = WordTokenizer(PATH, limit=50)
