@@ -17,18 +17,30 @@ from pulsegrid.llm.common import documents, materialise
 LEAST_CONFIDENCE = 0.4
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known: some letter, and a prediction of at least LEAST_CONFIDENCE."""
     model = langid.train(docs.where(langid.remainder(4) != 2))
-    predicted = langid.predict(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), model)
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)).select("row.*")
+    language, confidence = fresh(docs, "language"), fresh(docs, "confidence")
+    predicted = langid.predict(docs, model, (language, confidence))
+    return predicted.where((F.col(language) != "und") & (F.col(confidence) >= LEAST_CONFIDENCE)).select(*columns(docs))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score reaches quality.THRESHOLD."""
     model = quality.train(docs, quality.labels_to_learn(spark, sf_dir))
-    scored = quality.score_documents(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), model)
-    return scored.where("quality_keep").select("row.*")
+    score, keep = fresh(docs, "score"), fresh(docs, "keep")
+    return quality.score_documents(docs, model, (score, keep)).where(F.col(keep)).select(*columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, keep_words=False)
 
 
 STAGES = [("language_id", language_id), ("quality", quality_filter), ("near_dedup", near_dedup), ("packing", best_fit_packing)]

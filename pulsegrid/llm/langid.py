@@ -138,17 +138,17 @@ def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: i
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, text columns as they are) plus lang_pred and score, map-only."""
-    keys = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its probability under ``names``, map-only."""
+    keys = [f for f in docs.schema if f.name not in names]
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t) for t in column(batch, "text")]
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in keys]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*(f.name for f in keys), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*(f.name for f in keys), *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + [f"`{names[0]}` string", f"`{names[1]}` double"])
     return docs.select(*(f.name for f in keys)).mapInArrow(classify, schema)
 
 

@@ -43,7 +43,7 @@ class WordHashes(dict):
     """64-bit hashes of words; emptied now and then, which changes no hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), sketch], schema=schema)
+        _WORDS.clear()  # idle workers hold no memory
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, check long, sketch array<long>")
 
@@ -148,6 +149,7 @@ def full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             found = [shingle_set(t) for t in column(part, "text")]
             nodes = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], ">i8").astype(np.int64)[0] for s in found]
             yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "doc_id": part.column(part.schema.get_field_index("doc_id")), "items": pa.array([s.tobytes() for s in found], pa.binary())})
+        _WORDS.clear()
 
     items = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(sets, "node long, doc_id long, items binary")
     return items.join(wanted, ["node", "doc_id"], "left_semi").select("node", "items")

@@ -31,19 +31,21 @@ from pulsegrid.llm.common import column, documents, materialise, text_groups, wo
 CAPACITY = 4096
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document, map-only."""
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document, map-only. Without ``keep_words`` a task leaves no cache behind."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_tokenizer(tokenizer), np.array([end_id], dtype="<u4")
         for batch in batches:
-            doc_ids, texts, out = column(batch, "doc_id"), column(batch, "text"), []
+            doc_ids, texts, out = column(batch, "doc_id"), batch.column(batch.schema.get_field_index("text")), []
             for group in text_groups(texts):
                 for doc_id, found in zip(doc_ids[group], words.encode_all(texts[group])):
                     ids = np.concatenate([found, end])
                     out += [(doc_id, i, at, len(part := ids[at : at + capacity]), zlib.crc32(part)) for i, at in enumerate(range(0, len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+        if not keep_words:
+            words.kept.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -180,9 +182,9 @@ def evolve_blocks(items: DataFrame, capacity: int = CAPACITY, islands: int = 2,
     return chosen.mapInArrow(unpack, "item long, sequence long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, block_pieces: int = 10_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, block_pieces: int = 10_000, keep_words: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialise(pieces_of(docs, tokenizer, end_id, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    pieces = materialise(pieces_of(docs, tokenizer, end_id, capacity, keep_words).withColumn("item", F.monotonically_increasing_id()), "pieces")
     short = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-short.count() // block_pieces))
     items = short.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), "item", "length")

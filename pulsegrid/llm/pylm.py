@@ -247,6 +247,7 @@ def score_documents(docs: DataFrame, bucket_tokens: int = 1_500_000, batch_token
                     number, ids, flags, held, tokens = number + 1, [], [], [], 0
         if held:
             yield packets()
+        _WORDS.clear()  # idle workers hold no memory
 
     def seat(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         blobs = frame[frame.kind == 0].sort_values("batch").blob.tolist()

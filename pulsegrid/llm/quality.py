@@ -10,7 +10,7 @@ similarity**power, times the label's share among all labels over its share among
 
 Cases: a null text counts as empty; a text without n-grams, or a corpus without labels of both kinds, gets the share of
 label 1 among the labels (1.0 without any); null labels are not learned; a doc_id labelled twice takes its lower label;
-extra columns are kept by score_documents() except quality_score and quality_keep, which it sets.
+extra columns are kept by score_documents() except the two that it sets.
 """
 
 from __future__ import annotations
@@ -144,9 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, basis_rows: int = 1500, reference_
     return model
 
 
-def score_documents(docs: DataFrame, model: NeighbourModel) -> DataFrame:
-    """``docs`` with quality_score and quality_keep, map-only."""
-    keys = [f for f in docs.schema if f.name not in ("quality_score", "quality_keep")]
+def score_documents(docs: DataFrame, model: NeighbourModel, names: tuple[str, str] = ("quality_score", "quality_keep")) -> DataFrame:
+    """``docs`` with the score and the decision under ``names``, map-only."""
+    keys = [f for f in docs.schema if f.name not in names]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +154,9 @@ def score_documents(docs: DataFrame, model: NeighbourModel) -> DataFrame:
                 part = batch.slice(start, 500)
                 found = model.score(column(part, "text"))
                 arrays = [part.column(part.schema.get_field_index(f.name)) for f in keys]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.float64()), pa.array(found >= THRESHOLD, pa.bool_())], [*(f.name for f in keys), "quality_score", "quality_keep"])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.float64()), pa.array(found >= THRESHOLD, pa.bool_())], [*(f.name for f in keys), *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + ["quality_score double", "quality_keep boolean"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + [f"`{names[0]}` double", f"`{names[1]}` boolean"])
     return docs.select(*(f.name for f in keys)).mapInArrow(score, schema)
 
 
