@@ -36,6 +36,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on this session hands Python at most ``rows`` rows at a time (or fewer, if it is set so): a worker holds few texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(spark.conf.get(key))
+    if most <= 0 or most > rows:
+        spark.conf.set(key, str(rows))
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

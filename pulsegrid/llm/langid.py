@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import column, documents
+from pulsegrid.llm.common import bounded_batches, column, documents
 from pulsegrid.llm.features import counted, document_frequencies, inverse, ngram_hashes, weighted
 
 BITS, ORDERS = 15, (1, 2, 3)
@@ -104,6 +104,7 @@ def sampled(rows: DataFrame, label: str, counts: dict, limit: int) -> DataFrame:
 
 def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: int = 2) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang); the driver gets document frequencies, weights and calibration logits."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import column, documents, materialise
+from pulsegrid.llm.common import bounded_batches, column, documents, materialise
 from pulsegrid.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 85
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found = shingle_set(text)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sketches.append(found[:K])
+                sketches.append(found[:K].copy())  # not a view, which would hold the full set
                 ends.append(ends[-1] + len(sketches[-1]))
             both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64()))
@@ -259,6 +259,7 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, comp
 
 def decisions(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, node, check, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     signed = materialise(signatures(docs), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import column, documents
+from pulsegrid.llm.common import bounded_batches, column, documents
 from pulsegrid.llm.features import counted, document_frequencies, inverse, ngram_hashes, weighted
 from pulsegrid.llm.langid import remainder
 
@@ -115,6 +115,7 @@ def _basis(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, basis_rows: int = 1500, reference_rows: int = 8000, rank: int = 64) -> NeighbourModel:
     """Learn from the rows of ``labels`` (doc_id, quality) given; document frequencies count all of ``docs``."""
+    bounded_batches(docs.sparkSession)
     idf = inverse(*document_frequencies(docs, _present, BITS))
     labelled = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
