@@ -43,7 +43,7 @@ class WordHashes(dict):
     """64-bit hashes of words; emptied now and then, which changes no hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -299,21 +299,26 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     slot = F.coalesce(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS), F.lit(0))
     bitmap = _bitmap(lost)
 
+    def on_bitmap(slots: pd.Series) -> np.ndarray:
+        s = slots.to_numpy()
+        return (bitmap[s >> 5] >> (s & 31) & 1).astype(bool)
+
     @F.pandas_udf("boolean")
     def listed(slots: pd.Series) -> pd.Series:
-        s = slots.to_numpy()
-        return pd.Series((bitmap[s >> 5] >> (s & 31) & 1).astype(bool))
+        return pd.Series(on_bitmap(slots))
 
     @F.pandas_udf("node long, check long")
-    def identity(texts: pd.Series) -> pd.DataFrame:
-        both = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts]
-        halves = np.frombuffer(b"".join(both), ">i8").astype(np.int64).reshape(-1, 2)
-        return pd.DataFrame({"node": halves[:, 0], "check": halves[:, 1]})
-
-    on_map = F.col("doc_id").isNotNull() & listed(slot)
-    clear = docs.where(~on_map)
+    def identity(slots: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        """Digests of the sets of texts on the bitmap, null for the others: one Python worker a task does both."""
+        on = on_bitmap(slots)
+        halves = np.zeros((len(on), 2), np.int64)
+        both = b"".join(xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts[on])
+        halves[on] = np.frombuffer(both, ">i8").astype(np.int64).reshape(-1, 2)
+        return pd.DataFrame({c: pd.arrays.IntegerArray(halves[:, i].copy(), ~on) for i, c in enumerate(("node", "check"))})
+
+    clear = docs.where(F.col("doc_id").isNull() | ~listed(slot))
     keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "n_shingles").groupBy("_id", "_node", "_check").agg(F.max("n_shingles").alias("_n"))
-    doubtful = docs.where(on_map).withColumn("_set", identity("text"))
+    doubtful = docs.where("doc_id is not null").withColumn("_set", identity(slot, F.col("text"))).where("_set.node is not null")
     doubtful = doubtful.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_set.node") == F.col("_node")) & (F.col("_set.check") == F.col("_check")))
     rank = F.row_number().over(Window.partitionBy("_id", "_node", "_check").orderBy(F.xxhash64("text")))
     doubtful = doubtful.withColumn("_rank", F.when(F.col("_n") > 0, rank).otherwise(1)).where("_rank = 1")
