@@ -148,14 +148,14 @@ def text_groups(texts: pa.Array | list[str], size: int = 4_000_000) -> Iterator[
         yield slice(start, len(lengths))
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, limit: int = 900_000) -> WordTokenizer:
     """One tokenizer for each Python worker, kept between tasks."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    if (path, limit) not in _TOKENIZERS:
+        _TOKENIZERS[path, limit] = WordTokenizer(path, limit)
+    return _TOKENIZERS[path, limit]

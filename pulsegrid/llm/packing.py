@@ -32,11 +32,11 @@ CAPACITY = 4096
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document, map-only. Without ``keep_words`` a task leaves no cache behind."""
+    """(doc_id, piece, start, length, ids_crc32) of every document, map-only. Without ``keep_words`` a task keeps fewer words and leaves none behind."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_tokenizer(tokenizer), np.array([end_id], dtype="<u4")
+        words, end = word_tokenizer(tokenizer, 900_000 if keep_words else 250_000), np.array([end_id], dtype="<u4")
         for batch in batches:
             doc_ids, texts, out = column(batch, "doc_id"), batch.column(batch.schema.get_field_index("text")), []
             for group in text_groups(texts):
