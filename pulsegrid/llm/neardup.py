@@ -5,7 +5,7 @@
 2. The k least hashes of a set are its sketch. Inverted lists of the sketch values give overlaps. A value in more than
    ``hot`` sketches is hot; order values by (hot, hash). A node is listed under its first ``prefix`` values that are not
    hot. Those lists are short, and two sets with similarity s over such values share none with chance (1 - s)**prefix.
-3. A node of whose sketch over two fifths is hot is also listed under its first hot values. Within such a list every node
+3. A node of whose sketch much is hot (at 0.85: over two fifths) is also listed under its first hot values. Within such a list every node
    is paired with the one node that has most hot values (of a group of near copies, the original). Lists that still hold
    more than one component after step 5 are compared in full, on the full sets: in blocks, of which a task holds two, as
    a product of incidence matrices; of the links found, only those that join components leave a task.
@@ -16,6 +16,9 @@
 Cases: a document without words has no set, is linked with nothing and kept; with fewer than five words, the whole sequence
 is its one shingle; null text is empty; a null doc_id is linked with nothing, kept, and has a null component; repeated rows
 are copies; other columns are not read.
+
+The least similarity is a parameter in percent (``similar``), SIMILAR of the query. What the sketches rule out and which nodes
+count as hot follow from it.
 """
 
 from __future__ import annotations
@@ -34,11 +37,17 @@ from pulsegrid.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 85
 K, PREFIX, HOT, BLOCK, BLOCK_SHINGLES = 64, 16, 50, 2000, 4_000_000
-#: An estimate from 64 values of a true similarity of 0.85 falls below this with a chance of about one in 10**10.
-LEAST_ESTIMATE = 0.56
+#: An estimate falls so many standard deviations below the true similarity with a chance of about one in 10**10.
+DEVIATIONS = 6.5
 MAP_BITS = 23
 
 
+def least_estimate(similar: int) -> float:
+    """Estimates from K values below this rule a similarity of ``similar`` percent out."""
+    s = similar / 100
+    return s - DEVIATIONS * (s * (1 - s) / K) ** 0.5
+
+
 class WordHashes(dict):
     """64-bit hashes of words; emptied now and then, which changes no hash."""
 
@@ -91,10 +100,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, check long, sketch array<long>")
 
 
-def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(classes: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) with sizes that allow a link, from the short lists and from the hot ones; and the hot listings.
 
-    ``classes`` has node, n_shingles and sketch. Returned rows: pairs (a, b); hot listings (value, node).
+    ``classes`` has node, n_shingles and sketch. Returned rows: pairs (a, b); hot listings (value, node). Two sets of which at
+    most 4 * similar - 300 percent is hot have a similarity of at least 0.75 over their other values.
     """
     values = classes.select("node", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -104,21 +114,21 @@ def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = materialise(listed, "listed")
     cold = listed.select("node", "n_shingles", F.explode(F.slice("cold", 1, PREFIX)).alias("value"))
     left, right = cold.alias("x"), cold.alias("y")
-    fits = 100 * F.least("x.n_shingles", "y.n_shingles") >= SIMILAR * F.greatest("x.n_shingles", "y.n_shingles")
+    fits = 100 * F.least("x.n_shingles", "y.n_shingles") >= similar * F.greatest("x.n_shingles", "y.n_shingles")
     pairs = left.join(right, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    hot = listed.where(F.size("warm") > 0.4 * F.col("k")).select("node", F.size("warm").alias("centrality"), F.explode(F.slice("warm", 1, PREFIX)).alias("value"))
+    hot = listed.where(100 * F.size("warm") > max(0, 4 * similar - 300) * F.col("k")).select("node", F.size("warm").alias("centrality"), F.explode(F.slice("warm", 1, PREFIX)).alias("value"))
     centre = hot.groupBy("value").agg(F.max(F.struct("centrality", "node"))["node"].alias("centre"))
     stars = hot.join(centre, "value").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     return pairs.unionByName(stars).distinct(), hot.select("value", "node")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Pairs (a, b, estimate) that the sketch of the union does not rule out."""
     sketches = classes.select("node", "sketch")
     both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     estimate = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    return both.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
+    return both.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= least_estimate(similar))
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -155,7 +165,7 @@ def full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return items.join(wanted, ["node", "doc_id"], "left_semi").select("node", "items")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Of ``pairs`` (a, b), the links on full sets."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     items = full_sets(ends, docs, classes)
@@ -166,7 +176,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             for left, right in zip(column(batch, "left"), column(batch, "right")):
                 x, y = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+                keep.append(100 * both >= similar * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.select("a", "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("left")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
@@ -182,7 +192,7 @@ def _across(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
     return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame, similar: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Confirm candidates until every one is confirmed, refused, or within a component; all links, and the components."""
     links, components, first = None, None, True
     while True:
@@ -191,7 +201,7 @@ def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> tupl
             return links, components
         ends = left.select(F.col("a").alias("node"), "a", "b", "estimate").unionByName(left.select(F.col("b").alias("node"), "a", "b", "estimate"))
         best = ends.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct() if first else left.select("a", "b")
-        found = materialise(confirmed(best, docs, classes), "links")
+        found = materialise(confirmed(best, docs, classes, similar), "links")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links)
         if not first:
@@ -199,7 +209,7 @@ def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame) -> tupl
         candidates, first = left.join(best, ["a", "b"], "left_anti"), False
 
 
-def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similar: int = SIMILAR) -> list[tuple[int, int]]:
     """Links between rows of side 0 and of side 1 (of one side: among them) that join components, as a forest.
 
     Intersections are a product of 0/1 incidence matrices over the values that occur more than once, some columns at a time.
@@ -219,7 +229,7 @@ def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarr
         x = np.zeros((len(sets), 4096), np.float32)
         x[row_of[a:b], column_of[a:b] - start] = 1
         both += x[one] @ x[two].T
-    linked = 100 * both >= SIMILAR * (sizes[one][:, None] + sizes[two][None, :] - both)
+    linked = 100 * both >= similar * (sizes[one][:, None] + sizes[two][None, :] - both)
     linked &= components[one][:, None] != components[two][None, :]
     root: dict[int, int] = {}
 
@@ -239,7 +249,7 @@ def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarr
     return out
 
 
-def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, components: DataFrame | None) -> DataFrame:
+def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, components: DataFrame | None, similar: int) -> DataFrame:
     """Links (a, b) across components within hot lists that hold several components, block by block."""
     listed = hot.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")) if components is not None else hot.withColumn("component", F.col("node"))
     listed = listed.join(classes.select("node", "n_shingles"), "node")
@@ -251,50 +261,52 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, comp
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["node", "side"])
-        found = joining_links(frame.node.to_numpy(), frame.component.to_numpy(), [np.frombuffer(x, np.int64) for x in frame["items"]], frame.side.to_numpy()) if frame.low.iloc[0] == frame.high.iloc[0] or frame.side.nunique() == 2 else []
+        found = joining_links(frame.node.to_numpy(), frame.component.to_numpy(), [np.frombuffer(x, np.int64) for x in frame["items"]], frame.side.to_numpy(), similar) if frame.low.iloc[0] == frame.high.iloc[0] or frame.side.nunique() == 2 else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return first.unionByName(second).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
-def decisions(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, node, check, n_shingles, component_id, kept."""
+def decisions(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """One row a document: doc_id, node, check, n_shingles, component (its least node), component_id (its least doc_id), kept."""
     bounded_batches(docs.sparkSession)
     signed = materialise(signatures(docs), "signatures")
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    pairs, hot = candidate_pairs(classes)
+    pairs, hot = candidate_pairs(classes, similar)
     hot = materialise(hot, "hot")
-    candidates = materialise(estimated(pairs, classes), "candidates")
-    links, components = _resolve(candidates, docs, classes)
-    rest = materialise(_rest_of_hot_lists(hot, docs, classes, components), "rest")
+    candidates = materialise(estimated(pairs, classes, similar), "candidates")
+    links, components = _resolve(candidates, docs, classes, similar)
+    rest = materialise(_rest_of_hot_lists(hot, docs, classes, components, similar), "rest")
     if not rest.isEmpty():
         components = connected_components(rest if links is None else links.unionByName(rest))
     named = classes.select("node", "check", "first")
     if components is not None:
         labels = components.join(classes.select("node", "first"), "node")
         least = labels.groupBy("component").agg(F.min("first").alias("component_id"))
-        named = named.join(components.join(least, "component").select("node", "component_id"), "node", "left").withColumn("component_id", F.coalesce("component_id", "first"))
+        named = named.join(components.join(least, "component").select("node", "component", "component_id"), "node", "left").withColumns({"component": F.coalesce("component", "node"), "component_id": F.coalesce("component_id", "first")})
     else:
-        named = named.withColumn("component_id", F.col("first"))
-    out = signed.drop("sketch").join(named.select("node", "check", "component_id"), ["node", "check"], "left")
+        named = named.withColumns({"component": F.col("node"), "component_id": F.col("first")})
+    out = signed.drop("sketch").join(named.select("node", "check", "component", "component_id"), ["node", "check"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "node", "check", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "node", "check", "n_shingles", "component", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    return decisions(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return decisions(docs, similar).select("doc_id", "n_shingles", "component_id", "kept")
+
 
+def deduplicate(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Of each component of ``docs`` one row, all columns as they are; documents without words or doc_id all stay.
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """Of each component of ``docs`` one document, all columns as they are; documents without words or doc_id all stay.
+    It is a row of the least doc_id; if that repeats with different texts, the one whose text has the least hash.
 
     A bitmap of fixed size over the doc_ids that lose rows (or stand on several) parts the documents: the others pass
     without a shuffle, and only those on the bitmap are joined with the decisions.
     """
-    found = materialise(decisions(docs), "decisions").where("doc_id is not null")
+    found = materialise(decisions(docs, similar), "decisions").where("doc_id is not null")
     lost = found.where("not kept").select("doc_id").unionByName(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     slot = F.coalesce(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS), F.lit(0))
     bitmap = _bitmap(lost)
@@ -317,10 +329,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({c: pd.arrays.IntegerArray(halves[:, i].copy(), ~on) for i, c in enumerate(("node", "check"))})
 
     clear = docs.where(F.col("doc_id").isNull() | ~listed(slot))
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "n_shingles").groupBy("_id", "_node", "_check").agg(F.max("n_shingles").alias("_n"))
+    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "n_shingles", "component").groupBy("_id", "_node", "_check").agg(F.max("n_shingles").alias("_n"), F.max("component").alias("_component"))
     doubtful = docs.where("doc_id is not null").withColumn("_set", identity(slot, F.col("text"))).where("_set.node is not null")
     doubtful = doubtful.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_set.node") == F.col("_node")) & (F.col("_set.check") == F.col("_check")))
-    rank = F.row_number().over(Window.partitionBy("_id", "_node", "_check").orderBy(F.xxhash64("text")))
+    rank = F.row_number().over(Window.partitionBy("_id", "_component").orderBy(F.xxhash64("text")))
     doubtful = doubtful.withColumn("_rank", F.when(F.col("_n") > 0, rank).otherwise(1)).where("_rank = 1")
     return clear.unionByName(doubtful.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
