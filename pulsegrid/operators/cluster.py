@@ -117,21 +117,20 @@ def seed_clusters(hits: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """Greedy clustering around seeds within each group of ``keys`` (a time cluster of a chunk).
 
     In (time, seq) order an unvisited hit becomes a seed and takes every later unvisited hit nearer than ``gap``. ``seed``
-    is the seed's seq. One fold over the group's sorted hits keeps the seeds so far; a hit joins the first near one, which
-    is the seed that would have taken it.
+    is the seed's seq. Hits of one pixel share their seed: it is the first near one, and seeds that come later stand behind it.
+    So a group's array holds each of its pixels once, at its first hit, and is bounded by the detector however many hits
+    there are; a fold over it keeps the seeds, and the hits are joined by pixel. Without x or y a hit is its own seed.
     """
-    hit = F.struct("time", "seq", "x", "y")
+    if gap == 0:
+        return hits.select(*keys, "seq", F.col("seq").alias("seed"))
     near = lambda s, h: (s["x"] - h["x"]) * (s["x"] - h["x"]) + (s["y"] - h["y"]) * (s["y"] - h["y"]) < gap * gap
-
-    def step(acc, h):
-        found = F.get(F.filter(acc["seeds"], lambda s: near(s, h)), F.lit(0))
-        own = F.struct(h["seq"].alias("seq"), h["x"].alias("x"), h["y"].alias("y"))
-        return F.struct(
-            F.when(found.isNull(), F.concat(acc["seeds"], F.array(own))).otherwise(acc["seeds"]).alias("seeds"),
-            F.concat(acc["out"], F.array(F.struct(h["seq"].alias("seq"), F.coalesce(found["seq"], h["seq"]).alias("seed")))).alias("out"),
-        )
-
-    kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
-    empty = F.expr(f"named_struct('seeds', cast(array() as array<struct<seq:{kinds['seq']},x:{kinds['x']},y:{kinds['y']}>>), 'out', cast(array() as array<struct<seq:{kinds['seq']},seed:{kinds['seq']}>>))")
-    folded = hits.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(hit)), empty, step)["out"].alias("out"))
-    return folded.select(*keys, F.explode("out").alias("o")).select(*keys, "o.seq", "o.seed")
+    pixels = hits.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "x", "y").agg(F.min(F.struct("time", "seq")).alias("_f"))
+    groups = pixels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_f.time", "_f.seq", "x", "y"))).alias("_pixels"))
+    none = F.slice("_pixels", 1, 0)
+    seeds = F.aggregate("_pixels", none, lambda acc, h: F.when(F.exists(acc, lambda s: near(s, h)), acc).otherwise(F.concat(acc, F.array(h))))
+    found = groups.withColumn("_seeds", seeds).select(*keys, F.explode(F.transform("_pixels", lambda h: F.struct(h["x"].alias("x"), h["y"].alias("y"), F.get(F.filter("_seeds", lambda s: near(s, h)), F.lit(0))["seq"].alias("seed")))).alias("_p"))
+    found = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"), F.col("_p.seed").alias("seed"))
+    on = (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return hits.select(*keys, "seq", "x", "y").join(found, on, "left").select(*keys, "seq", F.coalesce("seed", "seq").alias("seed"))

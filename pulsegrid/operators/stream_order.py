@@ -88,17 +88,17 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, columns
 def counter_gaps(df: DataFrame, keys: list[str], counter: str, order: list[str]) -> DataFrame:
     """(keys, accepted, dropped, missed) of counters that may repeat or go back.
 
-    A reading not above the last accepted one is dropped, unless it is 0 or 1 (the counter wrapped); gaps are missed. The
-    last accepted value needs a fold, so ``keys`` must bound the group (a source's packet or second).
+    A reading not above the last accepted one is dropped, unless it is 0 or 1 (the counter wrapped); gaps are missed. A
+    reading of 0, 1 or null is always accepted and opens a run; in a run the last accepted value is the greatest so far. So
+    windows over sorted rows do it, and no group is held as an array.
     """
-    start = F.expr("named_struct('last', cast(null as bigint), 'ok', 0L, 'dropped', 0L, 'missed', 0L)")
-
-    def step(acc, row):
-        x = row["c"]
-        bad = (x <= acc["last"]) & ~x.isin(0, 1)
-        jump = F.when(x > acc["last"] + 1, x - acc["last"] - 1).otherwise(0)
-        return F.when(bad, F.struct(acc["last"].alias("last"), acc["ok"].alias("ok"), (acc["dropped"] + 1).alias("dropped"), acc["missed"].alias("missed"))).otherwise(
-            F.struct(x.alias("last"), (acc["ok"] + 1).alias("ok"), acc["dropped"].alias("dropped"), (acc["missed"] + F.coalesce(jump, F.lit(0))).cast("long").alias("missed")))
-
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(counter).cast("long").alias("c"))))
-    return df.groupBy(*keys).agg(F.aggregate(rows, start, step).alias("f")).select(*keys, F.col("f.ok").alias("accepted"), "f.dropped", "f.missed")
+    by = [*order, "_c"]
+    rows = df.select(*keys, *(F.col(c) for c in order if c not in keys), F.col(counter).cast("long").alias("_c"))
+    over = Window.partitionBy(*keys).orderBy(*by)
+    opens = F.coalesce(F.col("_c").isin(0, 1), F.lit(True)).cast("long")
+    rows = rows.withColumn("_run", F.sum(opens).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_last", F.max("_c").over(Window.partitionBy(*keys, "_run").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run", *by)))
+    bad = F.coalesce((F.col("_c") <= F.col("_last")) & ~F.col("_c").isin(0, 1), F.lit(False))
+    jump = F.when(F.col("_c") > F.col("_last") + 1, F.col("_c") - F.col("_last") - 1).otherwise(0)
+    return rows.groupBy(*keys).agg(F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("dropped"), F.sum(jump).alias("missed"))
