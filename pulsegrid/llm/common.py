@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; tests that set none get a local one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. A local session that sets none gets a folder of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,9 +31,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Row groups are small, so that a task which writes long texts holds few of them.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 * 2**20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -36,12 +44,70 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """From now on this session hands Python at most ``rows`` rows at a time (or fewer, if it is set so): a worker holds few texts at once."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Within it, actions of this session hand Python at most ``rows`` rows at a time (or fewer, if it is set so)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    most = int(spark.conf.get(key))
-    if most <= 0 or most > rows:
+    before = spark.conf.get(key)
+    if int(before) <= 0 or int(before) > rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or ``name`` after as many underscores as make it differ from all ``columns`` (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def as_rows(df: DataFrame, *needed: str) -> DataFrame:
+    """(row, *needed): every row of ``df`` as one struct beside the columns that an operator reads.
+
+    The operator's own columns then clash with none of the table's, whatever their names; ``select("row.*")`` restores them.
+    """
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *needed)
+
+
+#: A bitmap has at most 2**MAP_WORDS words of 64 bits (it is broadcast: some tens of MB at most), and about 16 bits an id.
+MAP_WORDS = 18
+
+
+def marked(df: DataFrame, ids: DataFrame, name: str = "marked") -> DataFrame:
+    """``df`` with a boolean: false only if its doc_id is not among ``ids`` (doc_id); null doc_ids are never marked.
+
+    The ids set bits of a bitmap sized from their count. With more than four ids a word the bitmap would be full, so every row is marked,
+    and what follows (a join on doc_id) does the work.
+    """
+    count = ids.count()
+    known = F.col("doc_id").isNotNull()
+    if count > 4 * 2**MAP_WORDS:
+        return df.withColumn(name, known)
+    words = min(MAP_WORDS, max(6, math.ceil(math.log2(max(1, count / 4)))))
+    bit, word = F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))"), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - words)
+    bitmap = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    found = df.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
+    return found.withColumn(name, known & (F.coalesce("_bits", F.lit(0)).bitwiseAND(bit) != 0)).drop("_at", "_word", "_bits")
+
+
+#: Keys with more than a MOST-th of all rows are fewer than MOST, so they can always be broadcast.
+MOST = 20_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, df: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and in ``df`` how many of the ``total`` rows have it.
+
+    Frequent keys (fewer than MOST) are broadcast; the rest, at most total / MOST rows each, are joined by a shuffle. No task
+    gets all rows of a frequent key.
+    """
+    frequent = F.col(df) * F.lit(MOST) > F.lit(total)
+    tried = rows.join(F.broadcast(table.where(frequent)), key, "left")
+    rest = tried.where(F.col(df).isNull()).select(*rows.columns)
+    return tried.where(F.col(df).isNotNull()).unionByName(rest.join(table.where(~frequent), key))
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

@@ -31,6 +31,18 @@ def ngram_hashes(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+def counted_ngrams(text: str, orders: tuple[int, ...], bits: int, part: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram features of the whole text and their counts; of a long text, so many code points at a time."""
+    if len(text) <= part:
+        return counted(ngram_hashes(text, orders, bits), bits)
+    total = np.zeros(2**bits, np.int64)
+    for n in orders:
+        for start in range(0, len(text), part):  # parts of one order overlap by n - 1 code points
+            total += np.bincount(ngram_hashes(text[start : start + part + n - 1], (n,), bits), minlength=2**bits)
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
 def counted(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features and their counts."""
     if len(hashes) < 3000:

@@ -7,7 +7,9 @@ penalty: tasks learn on shards of the sample and their models are averaged. A fi
 to fit the softmax temperature. Prediction is map-only.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned; a null
-lang is never learned; a null doc_id counts as the empty string in the split; extra columns are not read.
+lang is never learned; a null doc_id counts as the empty string in the split; repeated rows count each time and get equal
+results; equal probabilities go to the language that is first in alphabetical order; a long text is read whole, its n-grams
+counted some 200 000 characters at a time; predict() keeps extra columns, whatever their names, except the two that it sets.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded_batches, column, documents
-from pulsegrid.llm.features import counted, document_frequencies, inverse, ngram_hashes, weighted
+from pulsegrid.llm.common import as_rows, column, documents, small_batches
+from pulsegrid.llm.features import counted_ngrams, document_frequencies, inverse, weighted
 
 BITS, ORDERS = 15, (1, 2, 3)
 NOT_LETTERS = regex.compile(r"\P{L}+")
@@ -33,12 +35,12 @@ def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _hashes(text: str) -> np.ndarray:
-    return ngram_hashes(" " + NOT_LETTERS.sub(" ", text.lower()).strip() + " ", ORDERS, BITS)
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return counted_ngrams(" " + NOT_LETTERS.sub(" ", text.lower()).strip() + " ", ORDERS, BITS)
 
 
 def _present(text: str) -> np.ndarray:
-    return counted(_hashes(text), BITS)[0]
+    return _counts(text)[0]
 
 
 class FTRL:
@@ -85,7 +87,7 @@ class LanguageModel:
         self.languages, self.idf, self.weights, self.temperature = languages, idf, weights, temperature
 
     def logits(self, text: str) -> np.ndarray:
-        index, values = weighted(counted(_hashes(text), BITS), self.idf)
+        index, values = weighted(_counts(text), self.idf)
         return values @ self.weights[index]
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -99,14 +101,21 @@ class LanguageModel:
 def sampled(rows: DataFrame, label: str, counts: dict, limit: int) -> DataFrame:
     """About ``limit`` rows, evenly over labels, picked by a hash of doc_id and text."""
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, limit / len(counts) / n))])
-    return rows.where((F.abs(F.xxhash64("doc_id", "text")) % 1_000_000) / 1e6 < share[F.col(label)])
+    return rows.where((F.abs(F.xxhash64("doc_id", "text")) % 1_000_000) / 1e6 < share[F.col(label)])  # null, so false, for values that are not learned
 
 
-def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: int = 2) -> LanguageModel:
-    """Learn from ``docs`` (doc_id, text, lang); the driver gets document frequencies, weights and calibration logits."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: int = 2, most_languages: int = 200) -> LanguageModel:
+    """Learn from ``docs`` (doc_id, text, lang); the driver gets document frequencies, weights and calibration logits.
+
+    The weights are a block of 2**BITS x languages; of more than ``most_languages`` values of lang the most frequent are learned.
+    """
+    with small_batches(docs.sparkSession):
+        return _train(docs.select("doc_id", "text", "lang"), sample_rows, shards, epochs, most_languages)
+
+
+def _train(docs: DataFrame, sample_rows: int, shards: int, epochs: int, most_languages: int) -> LanguageModel:
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     languages = sorted(counts)
     idf = inverse(*document_frequencies(rows, _present, BITS))
     if not languages:
@@ -117,7 +126,7 @@ def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: i
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held = FTRL(2**BITS, len(languages)), []
         for batch in batches:
-            held += [(number[lang], *weighted(counted(_hashes(text), BITS), idf)) for text, lang in zip(column(batch, "text"), column(batch, "lang"))]
+            held += [(number[lang], *weighted(_counts(text), idf)) for text, lang in zip(column(batch, "text"), column(batch, "lang"))]
         for epoch in range(epochs):
             for i in np.random.default_rng(epoch).permutation(len(held)):
                 label, index, values = held[i]
@@ -125,7 +134,7 @@ def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: i
         if held:
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(held)], pa.int64()), "weights": pa.array([model.weights(slice(None)).tobytes()], pa.binary())})
 
-    trained = sample.where("fold > 0").repartition(shards, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(learn, "n long, weights binary").collect()
+    trained = sample.where("fold > 0").repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(learn, "n long, weights binary").collect()
     total = sum(r["n"] for r in trained)
     weights = sum((np.frombuffer(r["weights"], np.float32).reshape(2**BITS, -1) * (r["n"] / total) for r in trained), np.zeros((2**BITS, len(languages)), np.float32))
     model = LanguageModel(languages, idf, weights)
@@ -140,17 +149,19 @@ def train(docs: DataFrame, sample_rows: int = 12_000, shards: int = 4, epochs: i
 
 
 def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the predicted language and its probability under ``names``, map-only."""
-    keys = [f for f in docs.schema if f.name not in names]
+    """``docs`` with the predicted language and its probability under ``names`` (columns of these names are replaced), map-only.
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.predict(t) for t in column(batch, "text")]
-            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in keys]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*(f.name for f in keys), *names])
+    Python gets the texts alone and returns the two values.
+    """
+
+    @F.arrow_udf("struct<label:string,score:double>")
+    def classify(texts: pa.Array) -> pa.Array:
+        found = [model.predict(t) for start in range(0, len(texts), 500) for t in texts.slice(start, 500).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["label", "score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + [f"`{names[0]}` string", f"`{names[1]}` double"])
-    return docs.select(*(f.name for f in keys)).mapInArrow(classify, schema)
+    told = as_rows(docs, "text").select("row", classify("text").alias("found"))
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+    return told.select(*others, F.col("found.label").alias(names[0]), F.col("found.score").alias(names[1]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,17 @@
 2. The k least hashes of a set are its sketch. Inverted lists of the sketch values give overlaps. A value in more than
    ``hot`` sketches is hot; order values by (hot, hash). A node is listed under its first ``prefix`` values that are not
    hot. Those lists are short, and two sets with similarity s over such values share none with chance (1 - s)**prefix.
-3. A node of whose sketch much is hot (at 0.85: over two fifths) is also listed under its first hot values. Within such a list every node
-   is paired with the one node that has most hot values (of a group of near copies, the original). Lists that still hold
-   more than one component after step 5 are compared in full, on the full sets: in blocks, of which a task holds two, as
-   a product of incidence matrices; of the links found, only those that join components leave a task.
+3. A node of whose sketch much is hot (at 0.85: over two fifths) is a hot node. Within the list of a hot value it is paired
+   with the one node that has most hot values (of a group of near copies, the original).
 4. The sketch of the union estimates each pair's similarity; pairs far below the threshold go.
 5. Exact Jaccard on the full sets. Only pairs whose ends are not yet in one component are confirmed, each node's most
    similar partner first; the others follow, so no link that could join two components is left out.
+6. What the lists of hot values leave open is settled exactly on the hot nodes' full sets, whose shingles are counted. A set
+   that shares too few shingles with any other cannot have a link and goes; of the rest, each is listed under its rarest
+   shared shingles, so many that two linked sets must meet in one list (a prefix filter). Lists within one component are
+   closed, and so are nodes that no size in their list fits. Of an open list, short ones give their pairs; in long ones each
+   node outside the list's largest component is compared with that component's centre, and then, if it is still outside,
+   with all of the list: in blocks, as a product of incidence matrices, from which only links that join components leave.
 
 Cases: a document without words has no set, is linked with nothing and kept; with fewer than five words, the whole sequence
 is its one shingle; null text is empty; a null doc_id is linked with nothing, kept, and has a null component; repeated rows
@@ -29,17 +33,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded_batches, column, documents, materialise
+from pulsegrid.llm.common import as_rows, column, documents, marked, materialise, small_batches, spread_join
 from pulsegrid.llm.components import connected_components
 
 WORDS, SIMILAR = 5, 85
 K, PREFIX, HOT, BLOCK, BLOCK_SHINGLES = 64, 16, 50, 2000, 4_000_000
 #: An estimate falls so many standard deviations below the true similarity with a chance of about one in 10**10.
 DEVIATIONS = 6.5
-MAP_BITS = 23
 
 
 def least_estimate(similar: int) -> float:
@@ -101,14 +104,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) with sizes that allow a link, from the short lists and from the hot ones; and the hot listings.
+    """Pairs (a < b) with sizes that allow a link, from the short lists and from the hot ones; and the hot nodes (node).
 
-    ``classes`` has node, n_shingles and sketch. Returned rows: pairs (a, b); hot listings (value, node). Two sets of which at
-    most 4 * similar - 300 percent is hot have a similarity of at least 0.75 over their other values.
+    ``classes`` has node, n_shingles and sketch. Two sets of which at most 4 * similar - 300 percent is hot have a similarity of at
+    least 0.75 over their other values.
     """
     values = classes.select("node", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    listed = values.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("df") > HOT).alias("hot"), "value"))).alias("values"))
+    shared = materialise(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    listed = spread_join(values, shared, "value", "df", total).groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("df") > HOT).alias("hot"), "value"))).alias("values"))
     listed = listed.join(classes.select("node", "n_shingles", F.size("sketch").alias("k")), "node")
     listed = listed.select("node", "n_shingles", "k", F.filter("values", lambda x: ~x["hot"])["value"].alias("cold"), F.filter("values", lambda x: x["hot"])["value"].alias("warm"))
     listed = materialise(listed, "listed")
@@ -116,10 +120,11 @@ def candidate_pairs(classes: DataFrame, similar: int = SIMILAR) -> tuple[DataFra
     left, right = cold.alias("x"), cold.alias("y")
     fits = 100 * F.least("x.n_shingles", "y.n_shingles") >= similar * F.greatest("x.n_shingles", "y.n_shingles")
     pairs = left.join(right, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    hot = listed.where(100 * F.size("warm") > max(0, 4 * similar - 300) * F.col("k")).select("node", F.size("warm").alias("centrality"), F.explode(F.slice("warm", 1, PREFIX)).alias("value"))
-    centre = hot.groupBy("value").agg(F.max(F.struct("centrality", "node"))["node"].alias("centre"))
-    stars = hot.join(centre, "value").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    return pairs.unionByName(stars).distinct(), hot.select("value", "node")
+    hot = listed.where(100 * F.size("warm") > max(0, 4 * similar - 300) * F.col("k"))
+    warm = hot.select("node", F.size("warm").alias("centrality"), F.explode(F.slice("warm", 1, PREFIX)).alias("value"))
+    centre = warm.groupBy("value").agg(F.max(F.struct("centrality", "node"))["node"].alias("centre"), F.count("*").alias("df"))
+    stars = spread_join(warm, centre, "value", "df", total).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return pairs.unionByName(stars).distinct(), hot.select("node")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -131,50 +136,55 @@ def estimated(pairs: DataFrame, classes: DataFrame, similar: int = SIMILAR) -> D
     return both.select("a", "b", estimate.alias("estimate")).where(F.col("estimate") >= least_estimate(similar))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Which of 2**MAP_BITS hash slots the doc_ids of ``ids`` fall in, 32 in a word; the driver gets at most 2**18 rows."""
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MAP_BITS}) & 31 as int))")
-    word = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS + 5)
-    bitmap = np.zeros(2 ** (MAP_BITS - 5), dtype=np.int64)
-    for at, bits in ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        bitmap[at] = bits
-    return bitmap
+def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, items) of ``nodes`` (node) at least: the full sets, sorted. A node can come more than once, and others beside.
 
-
-def full_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, items) for the nodes of ``ends``: the full set as packed 64-bit integers.
-
-    The texts are read again. A bitmap of fixed size over doc_id hashes picks the classes' first documents; a bit shared by
-    chance only lets more rows through to the join.
+    The texts are read again, only those of each class's first document: a bitmap leaves out most others during the scan, and a
+    join on doc_id the rest.
     """
-    wanted = ends.join(classes.select("node", F.col("first").alias("doc_id")), "node")
-    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS)
-    bitmap = _bitmap(wanted)
+    wanted = materialise(nodes.join(classes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id").distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, seen = None, set()
         for batch in batches:
-            slots = np.array(column(batch, "slot"), dtype=np.int64)
-            picked = np.flatnonzero(bitmap[slots >> 5] >> (slots & 31) & 1)
-            part = batch.take(pa.array(picked))
-            found = [shingle_set(t) for t in column(part, "text")]
-            nodes = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], ">i8").astype(np.int64)[0] for s in found]
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "doc_id": part.column(part.schema.get_field_index("doc_id")), "items": pa.array([s.tobytes() for s in found], pa.binary())})
+            nodes, items, ends = [], [], [0]
+            for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
+                found = shingle_set(text)
+                node = _digest(found)
+                if doc_id != doc:  # rows come sorted by doc_id: repeated ones are told once
+                    doc, seen = doc_id, set()
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    items.append(found)
+                    ends.append(ends[-1] + len(found))
+            values = pa.array(np.concatenate(items) if items else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["node", "items"])
         _WORDS.clear()
 
-    items = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(sets, "node long, doc_id long, items binary")
-    return items.join(wanted, ["node", "doc_id"], "left_semi").select("node", "items")
+    texts = marked(docs.select("doc_id", "text"), wanted).where("marked").select("doc_id", "text")
+    return texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "node long, items array<long>")
+
+
+def _digest(items: np.ndarray) -> int:
+    """The node of a set: the leading half of its 128-bit digest."""
+    return int(np.frombuffer(xxhash.xxh3_128_digest(items.tobytes())[:8], ">i8")[0])
+
 
+def _arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """The lists of a column, without a copy."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Of ``pairs`` (a, b), the links on full sets."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    items = full_sets(ends, docs, classes)
+
+def confirmed(pairs: DataFrame, items: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Of ``pairs`` (a, b), the links on full sets; ``items`` has (node, items) of their ends."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for left, right in zip(column(batch, "left"), column(batch, "right")):
-                x, y = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
+            for x, y in zip(_arrays(batch, "left"), _arrays(batch, "right")):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= similar * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -183,6 +193,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similar: in
     return joined.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _across(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
     """Pairs whose ends are in different components so far."""
     if components is None:
@@ -201,7 +215,7 @@ def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame, similar
             return links, components
         ends = left.select(F.col("a").alias("node"), "a", "b", "estimate").unionByName(left.select(F.col("b").alias("node"), "a", "b", "estimate"))
         best = ends.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct() if first else left.select("a", "b")
-        found = materialise(confirmed(best, docs, classes, similar), "links")
+        found = materialise(confirmed(best, full_sets(_ends(best), docs, classes), similar), "links")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links)
         if not first:
@@ -249,37 +263,89 @@ def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarr
     return out
 
 
-def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, components: DataFrame | None, similar: int) -> DataFrame:
-    """Links (a, b) across components within hot lists that hold several components, block by block."""
-    listed = hot.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")) if components is not None else hot.withColumn("component", F.col("node"))
-    listed = listed.join(classes.select("node", "n_shingles"), "node")
-    split = listed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("low <> high").select("value", "blocks")
-    open_ = materialise(listed.join(split, "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "open")
-    open_ = open_.join(full_sets(open_.select("node").distinct(), docs, classes), "node")
-    first = open_.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).select("value", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"), "node", "component", "items")
-    second = open_.withColumn("other", F.explode(F.expr("sequence(0, block)"))).where("other < block").select("value", F.col("other").alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"), "node", "component", "items")
+def prefix_lists(hot: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(value, node, n, most): hot nodes under the shingles in one of which any two linked ones meet.
+
+    ``n`` is the size of the set and ``most`` the largest size that a partner can have. Shingles are counted over all hot sets, twice:
+    the second time without the sets that were found to share too few.
+    """
+    left = sets.join(hot, "node", "left_semi").dropDuplicates(["node"]).select("node", F.size("items").alias("n"), F.col("items").alias("shared"))
+    for _ in range(2):
+        rows = left.select("node", "n", F.explode("shared").alias("value"))
+        counts = materialise(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "hot-counts")
+        total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        ordered = spread_join(rows, counts, "value", "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value")))["value"].alias("shared"))
+        left = materialise(ordered.where(100 * F.size("shared") >= similar * F.col("n")), "hot-shared")
+    # a partner holds at most the shared shingles: similar percent of the union bounds its size
+    most = F.floor(F.size("shared") * (100 + similar) / similar + 1e-9).cast("int") - F.col("n")
+    prefix = F.size("shared") - F.ceil(similar * F.col("n") / 100 - 1e-9).cast("int") + 1
+    return left.select("node", "n", most.alias("most"), F.explode(F.slice("shared", F.lit(1), prefix)).alias("value"))
+
+
+def open_lists(listing: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The listings (value, node, n, most, component) of lists that hold several components and sizes that may fit, with the lists' figures."""
+    listing = listing.join(components, "node", "left") if components is not None else listing.withColumn("component", F.lit(None).cast("long"))
+    listing = materialise(listing.withColumn("component", F.coalesce("component", "node")), "listing")
+    for again in (True, False):  # the second time without the nodes that fit no size
+        parts = listing.groupBy("value", "component").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("most").alias("high"), F.max(F.struct("most", "node"))["node"].alias("centre"))
+        lists = parts.groupBy("value").agg(F.sum("rows").alias("df"), F.count("*").alias("components"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.struct("rows", "component", "centre")).alias("main"))
+        lists = materialise(lists.where("components > 1"), "lists")
+        total = lists.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        found = spread_join(listing, lists, "value", "df", total).where("most >= low and n <= high")
+        if again:
+            listing = materialise(found.select("value", "node", "n", "most", "component"), "listing")
+    return materialise(found.withColumn("minor", F.col("component") != F.col("main.component")), "open")
+
+
+def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, links: DataFrame | None, components: DataFrame | None, similar: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """All links and the components, after the hot nodes' sets have been compared exactly as far as components are still open."""
+    if hot.isEmpty():
+        return links, components
+    sets = materialise(full_sets(hot, docs, classes), "hot-sets")
+    listing = prefix_lists(hot, sets, similar)
+    open_ = open_lists(listing, components)
+    if open_.isEmpty():
+        return links, components
+    short = open_.where(F.col("df") <= HOT)
+    x, y = short.alias("x"), short.alias("y")
+    fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    stars = open_.where((F.col("df") > HOT) & F.col("minor")).select(F.least("node", "main.centre").alias("a"), F.greatest("node", "main.centre").alias("b"))
+    found = materialise(confirmed(pairs.unionByName(stars).distinct(), sets, similar), "links")
+    links = found if links is None else links.unionByName(found)
+    components = connected_components(links)
+    long = open_lists(open_.where(F.col("df") > HOT).select("value", "node", "n", "most"), components)
+    if long.isEmpty():
+        return links, components
+    blocks = lambda rows, items: F.ceil(F.greatest(rows / BLOCK, items / BLOCK_SHINGLES)).cast("int")
+    sizes = long.groupBy("value").agg(F.count("*").alias("rows"), blocks(F.count("*"), F.sum("n")).alias("many"), F.coalesce(blocks(F.sum(F.col("minor").cast("int")), F.sum(F.when(F.col("minor"), F.col("n")))), F.lit(0)).alias("few"))
+    parted = spread_join(long, sizes.where("few > 0"), "value", "rows", long.count()).join(sets.dropDuplicates(["node"]), "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    one = parted.where("minor").withColumn("other", F.explode(F.expr("sequence(0, many - 1)"))).select("value", place("few").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"), "node", "component", "items")
+    two = parted.withColumn("other", F.explode(F.expr("sequence(0, few - 1)"))).select("value", F.col("other").alias("low"), place("many").alias("high"), F.lit(1).alias("side"), "node", "component", "items")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["node", "side"])
-        found = joining_links(frame.node.to_numpy(), frame.component.to_numpy(), [np.frombuffer(x, np.int64) for x in frame["items"]], frame.side.to_numpy(), similar) if frame.low.iloc[0] == frame.high.iloc[0] or frame.side.nunique() == 2 else []
+        found = joining_links(frame.node.to_numpy(), frame.component.to_numpy(), list(frame["items"]), frame.side.to_numpy(), similar) if frame.side.nunique() == 2 else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return first.unionByName(second).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    found = materialise(one.unionByName(two).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct(), "links")
+    if found.isEmpty():
+        return links, components
+    links = links.unionByName(found)
+    return links, connected_components(links)
 
 
 def decisions(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row a document: doc_id, node, check, n_shingles, component (its least node), component_id (its least doc_id), kept."""
-    bounded_batches(docs.sparkSession)
-    signed = materialise(signatures(docs), "signatures")
-    sets = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    pairs, hot = candidate_pairs(classes, similar)
-    hot = materialise(hot, "hot")
-    candidates = materialise(estimated(pairs, classes, similar), "candidates")
-    links, components = _resolve(candidates, docs, classes, similar)
-    rest = materialise(_rest_of_hot_lists(hot, docs, classes, components, similar), "rest")
-    if not rest.isEmpty():
-        components = connected_components(rest if links is None else links.unionByName(rest))
+    with small_batches(docs.sparkSession):
+        signed = materialise(signatures(docs), "signatures")
+        sets = signed.where("n_shingles > 0 and doc_id is not null")
+        classes = materialise(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+        pairs, hot = candidate_pairs(classes, similar)
+        candidates = materialise(estimated(pairs, classes, similar), "candidates")
+        links, components = _resolve(candidates, docs, classes, similar)
+        links, components = _rest_of_hot_lists(hot, docs, classes, links, components, similar)
     named = classes.select("node", "check", "first")
     if components is not None:
         labels = components.join(classes.select("node", "first"), "node")
@@ -303,38 +369,24 @@ def deduplicate(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
     It is a row of the least doc_id; if that repeats with different texts, the one whose text has the least hash.
 
-    A bitmap of fixed size over the doc_ids that lose rows (or stand on several) parts the documents: the others pass
-    without a shuffle, and only those on the bitmap are joined with the decisions.
+    A bitmap over the doc_ids that lose rows (or stand on several) parts the documents: the others pass without a shuffle,
+    and only those on the bitmap are joined with the decisions.
     """
     found = materialise(decisions(docs, similar), "decisions").where("doc_id is not null")
     lost = found.where("not kept").select("doc_id").unionByName(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    slot = F.coalesce(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MAP_BITS), F.lit(0))
-    bitmap = _bitmap(lost)
-
-    def on_bitmap(slots: pd.Series) -> np.ndarray:
-        s = slots.to_numpy()
-        return (bitmap[s >> 5] >> (s & 31) & 1).astype(bool)
-
-    @F.pandas_udf("boolean")
-    def listed(slots: pd.Series) -> pd.Series:
-        return pd.Series(on_bitmap(slots))
-
-    @F.pandas_udf("node long, check long")
-    def identity(slots: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        """Digests of the sets of texts on the bitmap, null for the others: one Python worker a task does both."""
-        on = on_bitmap(slots)
-        halves = np.zeros((len(on), 2), np.int64)
-        both = b"".join(xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts[on])
-        halves[on] = np.frombuffer(both, ">i8").astype(np.int64).reshape(-1, 2)
-        return pd.DataFrame({c: pd.arrays.IntegerArray(halves[:, i].copy(), ~on) for i, c in enumerate(("node", "check"))})
-
-    clear = docs.where(F.col("doc_id").isNull() | ~listed(slot))
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("check").alias("_check"), "n_shingles", "component").groupBy("_id", "_node", "_check").agg(F.max("n_shingles").alias("_n"), F.max("component").alias("_component"))
-    doubtful = docs.where("doc_id is not null").withColumn("_set", identity(slot, F.col("text"))).where("_set.node is not null")
-    doubtful = doubtful.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_set.node") == F.col("_node")) & (F.col("_set.check") == F.col("_check")))
-    rank = F.row_number().over(Window.partitionBy("_id", "_component").orderBy(F.xxhash64("text")))
-    doubtful = doubtful.withColumn("_rank", F.when(F.col("_n") > 0, rank).otherwise(1)).where("_rank = 1")
-    return clear.unionByName(doubtful.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    lost = materialise(lost.distinct(), "lost")
+
+    @F.arrow_udf("struct<node:long,check:long>")
+    def identity(texts: pa.Array) -> pa.Array:
+        both = b"".join(xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in texts.to_pylist())
+        halves = np.frombuffer(both, ">i8").astype(np.int64).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["node", "check"])
+
+    told = marked(as_rows(docs, "doc_id", "text"), lost)
+    kept = found.where("kept").groupBy("doc_id", "node", "check").agg(F.max("n_shingles").alias("n_shingles"), F.max("component").alias("component"))
+    doubtful = told.where("marked").withColumn("set", identity("text")).select("row", "text", "doc_id", "set.node", "set.check").join(kept, ["doc_id", "node", "check"])
+    chosen = doubtful.where("n_shingles > 0").groupBy("doc_id", "component").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    return told.where("not marked").select("row.*").unionAll(doubtful.where("n_shingles = 0").select("row.*")).unionAll(chosen.select("row.*"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

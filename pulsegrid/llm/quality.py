@@ -9,8 +9,11 @@ document's cosine with every reference is computed exactly, in blocks; the ``nei
 similarity**power, times the label's share among all labels over its share among the references.
 
 Cases: a null text counts as empty; a text without n-grams, or a corpus without labels of both kinds, gets the share of
-label 1 among the labels (1.0 without any); null labels are not learned; a doc_id labelled twice takes its lower label;
-extra columns are kept by score_documents() except the two that it sets.
+label 1 among the labels (1.0 without any); null labels are not learned; a doc_id labelled twice takes its lower label; a
+labelled doc_id that several rows bear is learned once, with the least of their texts in byte order; repeated rows get equal
+scores; of references that are equally near at the last place, which differ in label only if their vectors are the same, any
+may vote; a long text is read whole, its n-grams counted some 200 000 characters at a time; extra columns are kept by
+score_documents(), whatever their names, except the two that it sets.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded_batches, column, documents
-from pulsegrid.llm.features import counted, document_frequencies, inverse, ngram_hashes, weighted
+from pulsegrid.llm.common import as_rows, column, documents, small_batches
+from pulsegrid.llm.features import counted_ngrams, document_frequencies, inverse, weighted
 from pulsegrid.llm.langid import remainder
 
 BITS, ORDERS = 13, (1, 2, 3)
@@ -34,12 +37,12 @@ THRESHOLD = 0.3
 CLASS_OF_GAP = np.array([0, 1, 2, 3, 3, *[4] * 4, *[5] * 8, *[6] * 48, 7], dtype=np.int64)
 
 
-def _hashes(text: str) -> np.ndarray:
-    return ngram_hashes(text, ORDERS, BITS)
+def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return counted_ngrams(text, ORDERS, BITS)
 
 
 def _present(text: str) -> np.ndarray:
-    return counted(_hashes(text), BITS)[0]
+    return _counts(text)[0]
 
 
 def _repeats(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +59,7 @@ def _repeats(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    index, values = weighted(counted(_hashes(text), BITS), idf)
+    index, values = weighted(_counts(text), idf)
     repeats, shares = _repeats(text)
     return np.concatenate([index, repeats]), np.concatenate([values, shares])
 
@@ -115,7 +118,11 @@ def _basis(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, basis_rows: int = 1500, reference_rows: int = 8000, rank: int = 64) -> NeighbourModel:
     """Learn from the rows of ``labels`` (doc_id, quality) given; document frequencies count all of ``docs``."""
-    bounded_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _train(docs.select("doc_id", "text"), labels, basis_rows, reference_rows, rank)
+
+
+def _train(docs: DataFrame, labels: DataFrame, basis_rows: int, reference_rows: int, rank: int) -> NeighbourModel:
     idf = inverse(*document_frequencies(docs, _present, BITS))
     labelled = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -125,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, basis_rows: int = 1500, reference_
     def share(limit: int):
         return F.element_at(F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, min(1.0, limit / 2 / max(counts.get(k, 1), 1)))]), F.col("label"))
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(labelled.where(unit < share(reference_rows))), "doc_id")  # at most about reference_rows labels
+    chosen = docs.join(F.broadcast(labelled.where(unit < share(reference_rows))), "doc_id")  # at most about reference_rows labels
+    chosen = chosen.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))  # and one text a label
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,19 +154,19 @@ def train(docs: DataFrame, labels: DataFrame, basis_rows: int = 1500, reference_
 
 
 def score_documents(docs: DataFrame, model: NeighbourModel, names: tuple[str, str] = ("quality_score", "quality_keep")) -> DataFrame:
-    """``docs`` with the score and the decision under ``names``, map-only."""
-    keys = [f for f in docs.schema if f.name not in names]
+    """``docs`` with the score and the decision under ``names`` (columns of these names are replaced), map-only.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = model.score(column(part, "text"))
-                arrays = [part.column(part.schema.get_field_index(f.name)) for f in keys]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.float64()), pa.array(found >= THRESHOLD, pa.bool_())], [*(f.name for f in keys), *names])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keys] + [f"`{names[0]}` double", f"`{names[1]}` boolean"])
-    return docs.select(*(f.name for f in keys)).mapInArrow(score, schema)
+    Python gets the texts alone and returns the score.
+    """
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        found = [model.score(texts.slice(start, 500).to_pylist()) for start in range(0, len(texts), 500)]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
+
+    told = as_rows(docs, "text").select("row", score("text").alias("found"))
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+    return told.select(*others, F.col("found").alias(names[0]), (F.col("found") >= THRESHOLD).alias(names[1]))
 
 
 def labels_to_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
