@@ -4,7 +4,7 @@ import corpus_pipeline
 from pulsegrid.llm.common import documents, materialise
 from pulsegrid.llm.neardup import deduplicate
 from tests.llm.fixtures import AWKWARD, awkward, empty
-from tests.llm.test_neardup import brute
+from tests.llm.test_neardup_threshold import brute
 from tests.llm.test_packing import brute_pieces, check, rows
 
 
@@ -19,7 +19,7 @@ def test_stages_keep_whole_rows(spark):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
         assert kept[name].items() <= before.items()
         if name == "near_dedup":
-            assert set(kept[name]) == {d for d, _, _, keep in brute(before.items()) if keep}
+            assert set(kept[name]) == {d for d, _, _, keep in brute(list(before.items()), 80) if keep}
         before = kept[name]
     bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
