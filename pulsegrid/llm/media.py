@@ -8,8 +8,10 @@ wrap_payload() stores any bytes losslessly as one track of 8-bit integer PCM (sa
 packet of 64 bytes, a chunk holds 16 packets, and every 8th packet is a key frame. It writes no times of day, so equal
 payloads give equal files.
 
-Cases: a null or empty text is 64 bytes of zero; files that are not ISO media, or are cut short, give no tracks and a
-non-null ``error``; null media give nulls; extra columns are not read.
+Cases: a null or empty text is 64 bytes of zero; a long text is stored whole; repeated rows give equal files; files that are
+not ISO media, or are cut short, give no tracks and a non-null ``error``, and so do tables that disagree, name more samples
+than the file can hold, or bytes outside it, and samples in movie fragments; of a file with several tracks the first is
+described; null media give nulls; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pulsegrid.llm.common import column, documents, materialise
 
 # Fixed values of the format: boxes that hold only boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
+#: Boxes below this depth are walked, but under their ancestor's path: none of the tables lies so deep.
+DEEPEST = 16
 PACKET, PACKETS_IN_CHUNK, KEY_EVERY, RATE = 64, 16, 8, 8000
 # Fixed values of the format: the identity transformation of a track header.
 IDENTITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -79,10 +83,13 @@ def wrap_payload(payload: bytes) -> bytes:
     return head + movie(first) + _box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, first byte of the content, end) of every box, depth first; ValueError where a box leaves its parent."""
-    end = len(data) if end is None else end
-    while start < end:
+    open_ = [(0, len(data), ())]  # where to go on, its parent's end and path; however deep boxes are nested
+    while open_:
+        start, end, path = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("a box header is cut short")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -95,10 +102,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} leaves its parent")
-        yield (*path, kind), body, start + size
+        inner = (*path, kind) if len(path) < DEEPEST else path
+        yield inner, body, start + size
+        open_.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            open_.append((body, start + size, inner))
 
 
 @dataclass
@@ -123,6 +131,8 @@ def tracks(data: bytes) -> list[Track]:
     found, tables = [], []
     for path, at, end in walk(data):
         kind = path[-1]
+        if path == (b"moof",):
+            raise ValueError("samples in movie fragments are not read")
         if kind == b"trak":
             found.append(Track())
             tables.append({})
@@ -132,6 +142,8 @@ def tracks(data: bytes) -> list[Track]:
                 version = data[at]
                 track.timescale, track.duration = struct.unpack_from(">IQ", data, at + 20) if version == 1 else struct.unpack_from(">II", data, at + 12)
             elif kind == b"stsd":
+                if at + 16 > end:
+                    raise ValueError("a sample description is cut short")
                 track.codec = data[at + 12 : at + 16].decode("latin-1")
             elif kind == b"stts":
                 table["stts"] = _entries(data, at, end, ">u4", 2)
@@ -143,6 +155,8 @@ def tracks(data: bytes) -> list[Track]:
                 table["stss"] = _entries(data, at, end, ">u4", 1)[:, 0] - 1
             elif kind == b"stsz":
                 size, n = struct.unpack_from(">II", data, at + 4)
+                if size * n > len(data):
+                    raise ValueError("more samples than the file holds")
                 table["sizes"] = np.full(n, size, np.int64) if size else _entries(data, at, end, ">u4", 1, 8)[:, 0]
             elif kind == b"stz2":
                 bits, n = struct.unpack_from(">B", data, at + 7)[0], struct.unpack_from(">I", data, at + 8)[0]
@@ -152,9 +166,9 @@ def tracks(data: bytes) -> list[Track]:
         sizes, chunks, runs = table.get("sizes", track.sizes), table.get("chunks", track.offsets), table.get("stsc", np.zeros((0, 3), np.int64))
         if len(sizes) and len(chunks) and len(runs):
             in_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-            chunk_of = np.repeat(np.arange(len(chunks)), in_chunk)
-            if len(chunk_of) != len(sizes):
+            if len(in_chunk) != len(chunks) or in_chunk.sum() != len(sizes) or (in_chunk < 1).any():
                 raise ValueError("chunks and sizes disagree")
+            chunk_of = np.repeat(np.arange(len(chunks)), in_chunk)
             ends = np.cumsum(sizes)
             first = np.concatenate([[0], np.cumsum(in_chunk)[:-1]])
             track.offsets = chunks[chunk_of] + (ends - sizes) - (ends - sizes)[first][chunk_of]
@@ -164,6 +178,16 @@ def tracks(data: bytes) -> list[Track]:
     return found
 
 
+def check_ranges(track: Track, length: int) -> None:
+    """ValueError unless every sample lies in a file of ``length`` bytes and every key frame is a sample."""
+    if len(track.offsets) != len(track.sizes):
+        raise ValueError("sizes without chunks")
+    if (track.offsets < 0).any() or (track.offsets + track.sizes > length).any():
+        raise ValueError("a sample lies outside the file")
+    if len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < len(track.sizes):
+        raise ValueError("a key frame is not a sample")
+
+
 def stored_bytes(data: bytes, track: Track) -> bytes:
     """The track's sample bytes in order, joined where they lie side by side."""
     if not len(track.sizes):
@@ -191,6 +215,7 @@ def describe_media(df: DataFrame, media: str = "media", keys: list[str] | None =
                     try:
                         if found := tracks(data):
                             t = found[0]
+                            check_ranges(t, len(data))
                             row |= {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "key_offsets": t.offsets[t.keys].tolist(), "key_lengths": t.sizes[t.keys].tolist()}
                         else:
                             row["error"] = "no track"

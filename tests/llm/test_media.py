@@ -81,3 +81,25 @@ def test_describe(spark):
     assert found[2].error and found[3].error and found[5].error
     assert found[4].error is None and found[4].codec is None
     assert np.array(found[1].key_offsets).tolist() == [len(good) - 64 * 20 + 64 * k for k in (0, 8, 16)]
+
+
+@pytest.mark.parametrize("bad", ["samples", "nested", "key", "outside", "fragments"])
+def test_bad_files_give_an_error(spark, bad):
+    good, box = wrap_payload(bytes(64 * 40)), lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    if bad == "samples":
+        at = good.index(b"stsz") + 8
+        data = good[:at] + struct.pack(">II", 8, 2**32 - 1) + good[at + 8 :]
+    elif bad == "nested":
+        data = b""
+        for _ in range(1500):
+            data = box(b"moov", data)
+    elif bad == "key":
+        at = good.index(b"stss") + 12
+        data = good[:at] + struct.pack(">I", 0) + good[at + 4 :]
+    elif bad == "outside":
+        at = good.index(b"stco") + 12
+        data = good[:at] + struct.pack(">I", 2**31) + good[at + 4 :]
+    else:
+        data = good + box(b"moof", b"")
+    row = describe_media(spark.createDataFrame([(1, bytearray(data))], "id int, media binary")).first()
+    assert row.error and row.codec is None
