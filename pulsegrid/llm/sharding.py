@@ -10,7 +10,8 @@
 
 Law: ``rows``; shard sizes differ by one row at most. Groups of equal texts are dealt like all other rows.
 Cases: a null text has size 1 and the crc32 of nothing, 0; null or repeated doc_ids are rows like others; an empty table
-gives an empty result; extra columns are kept by shard_rows() and clash with nothing but the four it adds.
+gives an empty result; a long text moves as its digests alone; equal keys of the order are told apart by place; shard_rows()
+keeps extra columns, whatever their names, but for shard and slot, which it sets.
 """
 
 from __future__ import annotations
@@ -24,9 +25,65 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from pulsegrid.llm.common import documents, materialise
+from pulsegrid.llm.common import as_rows, documents, materialise
 
 PLACE = "_place"
+#: Numpy draws hypergeometric numbers of fewer rows than this.
+EASY = 10**9
+
+
+def _log_error(n: float) -> float:
+    """log(n!) less Stirling's approximation of it."""
+    return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n < 16 else (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x * log(x / mean) + mean - x, without loss of digits where the two are close."""
+    if abs(x - mean) > 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, power, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        more = total + power / (2 * j + 1)
+        if more == total:
+            return total
+        total, j = more, j + 1
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Logarithm of the binomial probability, to full precision for any n."""
+    if x == 0 or x == n:
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+    return _log_error(n) - _log_error(x) - _log_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` rows are good, of any number of rows.
+
+    Below 10**9 rows numpy draws it. Beyond, a rejection method for log-concave laws does: its proposal is flat around the
+    mode with exponential tails, and it accepts by the exact ratio of probabilities to the mode's.
+    """
+    if good + bad < EASY:
+        return int(rng.hypergeometric(good, bad, drawn))
+    least, most = max(0, drawn - bad), min(good, drawn)
+    if least == most:
+        return least
+    p = drawn / (good + bad)
+
+    def log_p(x: int) -> float:
+        return _log_binomial(x, good, p) + _log_binomial(drawn - x, bad, p) - _log_binomial(drawn, good + bad, p) if p < 1 else 0.0
+
+    mode = min(max((drawn + 1) * (good + 1) // (good + bad + 2), least), most)
+    at_mode = log_p(mode)
+    height = math.exp(at_mode)
+    w = 1 + height / 2
+    while True:
+        u, v, test, sign = rng.random(4)
+        y = v * w / height if u <= w / (1 + w) else (w - math.log1p(-v)) / height
+        x = mode + round(y) * (1 if sign < 0.5 else -1)
+        if least <= x <= most and math.log(max(test, 1e-300)) + min(0.0, w - height * y) <= log_p(x) - at_mode:
+            return x
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -36,14 +93,18 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     left = np.array([total // shards + (j < total % shards) for j in range(shards)], dtype=np.int64)
     matrix = np.zeros((len(counts), shards), dtype=np.int64)
     for i, n in enumerate(counts):
-        matrix[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+        rest = int(left.sum())
+        for j in range(shards):  # shard by shard, of the rows and places that the shards before left
+            rest -= int(left[j])
+            matrix[i, j] = hypergeometric(rng, int(left[j]), rest, n)
+            n -= int(matrix[i, j])
         left -= matrix[i]
     return matrix
 
 
 def shard_rows(df: DataFrame, shards: int = 8, seed: int = 20240501, cell_rows: int = 20_000) -> DataFrame:
     """``df`` with columns shard and slot: a uniform permutation of all rows, cut into shards of equal size."""
-    rows = materialise(df.withColumn(PLACE, F.monotonically_increasing_id()), "shard-rows")
+    rows = materialise(as_rows(df).withColumn(PLACE, F.monotonically_increasing_id()), "shard-rows")
     counts = {r["part"]: r["n"] for r in rows.groupBy(F.shiftright(PLACE, 33).alias("part")).agg(F.count("*").alias("n")).collect()}  # one row a partition
     parts = sorted(counts)
     matrix = dict(zip(parts, communication_matrix([counts[p] for p in parts], shards, seed)))
@@ -67,7 +128,8 @@ def shard_rows(df: DataFrame, shards: int = 8, seed: int = 20240501, cell_rows:
     sizes = keys.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return dealt.join(starts, ["shard", "_cell"]).withColumn("slot", F.col("_start") + F.col("_rank") - 1).drop(PLACE, "_key", "_cell", "_rank", "_start")
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return dealt.join(starts, ["shard", "_cell"]).select(*kept, "shard", (F.col("_start") + F.col("_rank") - 1).alias("slot"))
 
 
 def op5_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
