@@ -101,7 +101,10 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray], id_bytes: int
     base = int(known[0]) if len(known) else 0
     keys = EliasFano.build(known.astype(np.uint64) - np.uint64(base & (2**64 - 1))).to_bytes()
     ends = EliasFano.build(np.cumsum([len(x) for x in ids])).to_bytes()
-    flat = np.concatenate(ids).astype(f"<u{id_bytes}")
+    flat = np.concatenate(ids)
+    if len(flat) and int(flat.max()) >> (8 * id_bytes):
+        raise ValueError(f"id {int(flat.max())} does not fit in {id_bytes} bytes")
+    flat = flat.astype(f"<u{id_bytes}")
     return HEADER.pack(b"EFT1", len(doc_ids), len(doc_ids) - len(known), id_bytes, base, len(flat), len(keys), len(ends)) + keys + ends + flat.tobytes()
 
 
@@ -131,12 +134,14 @@ class Segment:
 SEGMENTS = "part int, seq int, part_start long, n_docs int, n_tokens long, segment binary"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_ids: int = 1_000_000, id_bytes: int = 2) -> None:
-    """Tokenise ``docs`` (doc_id, text) and write a store at ``path``.
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment_ids: int = 1_000_000) -> None:
+    """Tokenise ``docs`` (doc_id, text) and write a store at ``path``; an id takes 1, 2 or 4 bytes, as the vocabulary and the end id need.
 
-    One shuffle range-partitions the texts by doc_id; a task then streams its sorted rows and cuts a segment whenever
-    ``segment_ids`` ids are gathered, so it holds one segment at a time.
+    One shuffle range-partitions the texts by doc_id, and by the start of the text where many rows have one doc_id or none; a task
+    then streams its sorted rows and cuts a segment whenever ``segment_ids`` ids are gathered, so it holds one segment at a time.
     """
+    most = max(end_id, *word_tokenizer(tokenizer).model.get_vocab().values())
+    id_bytes = next(n for n in (1, 2, 4) if most < 256**n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = word_tokenizer(tokenizer), np.array([end_id], dtype="<u4")
@@ -161,7 +166,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, segment
         if keys:
             yield cut()
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

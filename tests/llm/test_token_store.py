@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -56,6 +57,19 @@ def test_elias_fano_is_small():
     assert len(EliasFano.build(values).to_bytes()) < 10_000 * 2  # 64-bit offsets would take 80 000
 
 
+def test_ids_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError):
+        pack_segment([1], [np.array([70_000], "<u4")], 2)
+    assert Segment(pack_segment([1], [np.array([70_000], "<u4")], 4)).document(0).tolist() == [70_000]
+
+
+def test_width_follows_the_end_id(spark):
+    path = shared_path(spark, "t")
+    write_store(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), path, PATH, 70_000)
+    segment = Segment(bytes(spark.read.parquet(path).first().segment))
+    assert segment.id_bytes == 4 and segment.document(0)[-1] == 70_000
+
+
 def test_segment_random_access():
     ids = [np.arange(n, dtype="<u4") for n in (3, 1, 500, 2)]
     segment = Segment(pack_segment([None, -5, 7, 7], ids, 2))
