@@ -86,8 +86,8 @@ def collided(docs: DataFrame, bits: int = 128) -> DataFrame:
 def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     """Rows (bucket, ghost, doc_id, text), sorted, in which each document is followed by the next in descending doc_id order.
 
-    doc_ids are cut into ranges. The first documents of a range are also sent, as ghosts, to the end of the range before
-    it, and those of the first range to the last. Ranges are found from the doc_ids alone; the driver holds one row a range.
+    doc_ids are cut into ranges, a partition each. The first document of a range is also sent, as a ghost, to the end of the
+    range before it, and that of the first range to the last. Ranges are found from the doc_ids alone; the driver holds one row a range.
     """
     ids = docs.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [i / partitions for i in range(1, partitions)], 10_000)).first()[0] if partitions > 1 else []
@@ -105,8 +105,9 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     if not heads:
         return rows
     home = docs.sparkSession.createDataFrame([(h["head"], heads[i - 1]["bucket"]) for i, h in enumerate(heads)], "head long, home int")
-    ghosts = docs.join(F.broadcast(home), F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("home").alias("bucket"), F.lit(1).alias("ghost"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.unionByName(ghosts).repartition(partitions, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    first = docs.join(F.broadcast(home), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("home", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    ghosts = first.select(F.col("home").alias("bucket"), F.lit(1).alias("ghost"), "doc_id", "text")
+    return rows.unionByName(ghosts).repartitionById(last + 1, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def edited_text(text: str, following: str) -> str:
