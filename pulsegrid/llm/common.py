@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -30,13 +31,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
 
     Row groups are small, so that a task which writes long texts holds few of them.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 * 2**20).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", 16 * 2**20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,8 +46,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """Within it, actions of this session hand Python at most ``rows`` rows at a time (or fewer, if it is set so)."""
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, actions of this session hand Python at most ``rows`` rows at a time (or fewer, if it is set so).
+
+    Arrow keeps a buffer of a batch's size for each thread that ever wrote one, outside the heap; texts are long, so batches are short.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     if int(before) <= 0 or int(before) > rows:
@@ -110,6 +114,15 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, df: str, total: int
     return tried.where(F.col(df).isNotNull()).unionByName(rest.join(table.where(~frequent), key))
 
 
+def release_memory() -> None:
+    """Give a Python worker's free memory back at the end of a task: workers wait for the next one beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -217,6 +230,12 @@ def text_groups(texts: pa.Array | list[str], size: int = 4_000_000) -> Iterator[
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
+def drop_tokenizers() -> None:
+    """Forget this worker's tokenizers and what they keep."""
+    _TOKENIZERS.clear()
+    release_memory()
+
+
 def word_tokenizer(path: str, limit: int = 900_000) -> WordTokenizer:
     """One tokenizer for each Python worker, kept between tasks."""
     import os

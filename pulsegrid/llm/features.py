@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import column
+from pulsegrid.llm.common import column, release_memory
 
 # Fixed odd multipliers of the n-gram hash, one for each place.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -73,6 +73,7 @@ def document_frequencies(docs: DataFrame, features: Callable[[str], np.ndarray],
                 total[features(text or "")] += 1
                 rows += 1
         found = np.flatnonzero(total)
+        release_memory()
         yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(found, -1), pa.int32()), "n": pa.array(np.append(total[found], rows), pa.int64())})
 
     sums = docs.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()

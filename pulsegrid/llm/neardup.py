@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import as_rows, column, documents, marked, materialise, small_batches, spread_join
-from pulsegrid.llm.components import connected_components
+from pulsegrid.llm.common import as_rows, column, documents, marked, release_memory, small_batches, spread_join
+from pulsegrid.llm.components import connected_components, written
 
 WORDS, SIMILAR = 5, 85
 K, PREFIX, HOT, BLOCK, BLOCK_SHINGLES = 64, 16, 50, 2000, 4_000_000
@@ -99,6 +99,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), sketch], schema=schema)
         _WORDS.clear()  # idle workers hold no memory
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, check long, sketch array<long>")
 
@@ -110,12 +111,12 @@ def candidate_pairs(classes: DataFrame, similar: int = SIMILAR) -> tuple[DataFra
     least 0.75 over their other values.
     """
     values = classes.select("node", F.explode("sketch").alias("value"))
-    shared = materialise(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    shared = written(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     total = shared.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     listed = spread_join(values, shared, "value", "df", total).groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("df") > HOT).alias("hot"), "value"))).alias("values"))
     listed = listed.join(classes.select("node", "n_shingles", F.size("sketch").alias("k")), "node")
     listed = listed.select("node", "n_shingles", "k", F.filter("values", lambda x: ~x["hot"])["value"].alias("cold"), F.filter("values", lambda x: x["hot"])["value"].alias("warm"))
-    listed = materialise(listed, "listed")
+    listed = written(listed, "listed")
     cold = listed.select("node", "n_shingles", F.explode(F.slice("cold", 1, PREFIX)).alias("value"))
     left, right = cold.alias("x"), cold.alias("y")
     fits = 100 * F.least("x.n_shingles", "y.n_shingles") >= similar * F.greatest("x.n_shingles", "y.n_shingles")
@@ -142,7 +143,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     The texts are read again, only those of each class's first document: a bitmap leaves out most others during the scan, and a
     join on doc_id the rest.
     """
-    wanted = materialise(nodes.join(classes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id").distinct(), "wanted")
+    wanted = written(nodes.join(classes.select("node", F.col("first").alias("doc_id")), "node").select("doc_id").distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, seen = None, set()
@@ -161,6 +162,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             values = pa.array(np.concatenate(items) if items else [], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["node", "items"])
         _WORDS.clear()
+        release_memory()
 
     texts = marked(docs.select("doc_id", "text"), wanted).where("marked").select("doc_id", "text")
     return texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "node long, items array<long>")
@@ -210,12 +212,12 @@ def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame, similar
     """Confirm candidates until every one is confirmed, refused, or within a component; all links, and the components."""
     links, components, first = None, None, True
     while True:
-        left = materialise(_across(candidates, components), "left")
+        left = written(_across(candidates, components), "left")
         if left.isEmpty():
             return links, components
         ends = left.select(F.col("a").alias("node"), "a", "b", "estimate").unionByName(left.select(F.col("b").alias("node"), "a", "b", "estimate"))
         best = ends.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct() if first else left.select("a", "b")
-        found = materialise(confirmed(best, full_sets(_ends(best), docs, classes), similar), "links")
+        found = written(confirmed(best, full_sets(_ends(best), docs, classes), similar), "links")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links)
         if not first:
@@ -272,10 +274,10 @@ def prefix_lists(hot: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     left = sets.join(hot, "node", "left_semi").dropDuplicates(["node"]).select("node", F.size("items").alias("n"), F.col("items").alias("shared"))
     for _ in range(2):
         rows = left.select("node", "n", F.explode("shared").alias("value"))
-        counts = materialise(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "hot-counts")
+        counts = written(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "hot-counts")
         total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         ordered = spread_join(rows, counts, "value", "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value")))["value"].alias("shared"))
-        left = materialise(ordered.where(100 * F.size("shared") >= similar * F.col("n")), "hot-shared")
+        left = written(ordered.where(100 * F.size("shared") >= similar * F.col("n")), "hot-shared")
     # a partner holds at most the shared shingles: similar percent of the union bounds its size
     most = F.floor(F.size("shared") * (100 + similar) / similar + 1e-9).cast("int") - F.col("n")
     prefix = F.size("shared") - F.ceil(similar * F.col("n") / 100 - 1e-9).cast("int") + 1
@@ -285,23 +287,23 @@ def prefix_lists(hot: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 def open_lists(listing: DataFrame, components: DataFrame | None) -> DataFrame:
     """The listings (value, node, n, most, component) of lists that hold several components and sizes that may fit, with the lists' figures."""
     listing = listing.join(components, "node", "left") if components is not None else listing.withColumn("component", F.lit(None).cast("long"))
-    listing = materialise(listing.withColumn("component", F.coalesce("component", "node")), "listing")
+    listing = written(listing.withColumn("component", F.coalesce("component", "node")), "listing")
     for again in (True, False):  # the second time without the nodes that fit no size
         parts = listing.groupBy("value", "component").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("most").alias("high"), F.max(F.struct("most", "node"))["node"].alias("centre"))
         lists = parts.groupBy("value").agg(F.sum("rows").alias("df"), F.count("*").alias("components"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.struct("rows", "component", "centre")).alias("main"))
-        lists = materialise(lists.where("components > 1"), "lists")
+        lists = written(lists.where("components > 1"), "lists")
         total = lists.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         found = spread_join(listing, lists, "value", "df", total).where("most >= low and n <= high")
         if again:
-            listing = materialise(found.select("value", "node", "n", "most", "component"), "listing")
-    return materialise(found.withColumn("minor", F.col("component") != F.col("main.component")), "open")
+            listing = written(found.select("value", "node", "n", "most", "component"), "listing")
+    return written(found.withColumn("minor", F.col("component") != F.col("main.component")), "open")
 
 
 def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, links: DataFrame | None, components: DataFrame | None, similar: int) -> tuple[DataFrame | None, DataFrame | None]:
     """All links and the components, after the hot nodes' sets have been compared exactly as far as components are still open."""
     if hot.isEmpty():
         return links, components
-    sets = materialise(full_sets(hot, docs, classes), "hot-sets")
+    sets = written(full_sets(hot, docs, classes), "hot-sets")
     listing = prefix_lists(hot, sets, similar)
     open_ = open_lists(listing, components)
     if open_.isEmpty():
@@ -311,7 +313,7 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, link
     fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     stars = open_.where((F.col("df") > HOT) & F.col("minor")).select(F.least("node", "main.centre").alias("a"), F.greatest("node", "main.centre").alias("b"))
-    found = materialise(confirmed(pairs.unionByName(stars).distinct(), sets, similar), "links")
+    found = written(confirmed(pairs.unionByName(stars).distinct(), sets, similar), "links")
     links = found if links is None else links.unionByName(found)
     components = connected_components(links)
     long = open_lists(open_.where(F.col("df") > HOT).select("value", "node", "n", "most"), components)
@@ -329,7 +331,7 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, link
         found = joining_links(frame.node.to_numpy(), frame.component.to_numpy(), list(frame["items"]), frame.side.to_numpy(), similar) if frame.side.nunique() == 2 else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    found = materialise(one.unionByName(two).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct(), "links")
+    found = written(one.unionByName(two).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct(), "links")
     if found.isEmpty():
         return links, components
     links = links.unionByName(found)
@@ -339,11 +341,11 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, link
 def decisions(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One row a document: doc_id, node, check, n_shingles, component (its least node), component_id (its least doc_id), kept."""
     with small_batches(docs.sparkSession):
-        signed = materialise(signatures(docs), "signatures")
+        signed = written(signatures(docs), "signatures")
         sets = signed.where("n_shingles > 0 and doc_id is not null")
-        classes = materialise(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+        classes = written(sets.groupBy("node", "check").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
         pairs, hot = candidate_pairs(classes, similar)
-        candidates = materialise(estimated(pairs, classes, similar), "candidates")
+        candidates = written(estimated(pairs, classes, similar), "candidates")
         links, components = _resolve(candidates, docs, classes, similar)
         links, components = _rest_of_hot_lists(hot, docs, classes, links, components, similar)
     named = classes.select("node", "check", "first")
@@ -372,9 +374,9 @@ def deduplicate(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     A bitmap over the doc_ids that lose rows (or stand on several) parts the documents: the others pass without a shuffle,
     and only those on the bitmap are joined with the decisions.
     """
-    found = materialise(decisions(docs, similar), "decisions").where("doc_id is not null")
+    found = written(decisions(docs, similar), "decisions").where("doc_id is not null")
     lost = found.where("not kept").select("doc_id").unionByName(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    lost = materialise(lost.distinct(), "lost")
+    lost = written(lost.distinct(), "lost")
 
     @F.arrow_udf("struct<node:long,check:long>")
     def identity(texts: pa.Array) -> pa.Array:
@@ -382,11 +384,13 @@ def deduplicate(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         halves = np.frombuffer(both, ">i8").astype(np.int64).reshape(-1, 2)
         return pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["node", "check"])
 
+    identity = identity.asNondeterministic()  # or a null check of the join's key would digest every text in the scan
     told = marked(as_rows(docs, "doc_id", "text"), lost)
     kept = found.where("kept").groupBy("doc_id", "node", "check").agg(F.max("n_shingles").alias("n_shingles"), F.max("component").alias("component"))
     doubtful = told.where("marked").withColumn("set", identity("text")).select("row", "text", "doc_id", "set.node", "set.check").join(kept, ["doc_id", "node", "check"])
-    chosen = doubtful.where("n_shingles > 0").groupBy("doc_id", "component").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
-    return told.where("not marked").select("row.*").unionAll(doubtful.where("n_shingles = 0").select("row.*")).unionAll(chosen.select("row.*"))
+    own = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())  # rows without words are groups of their own
+    chosen = doubtful.withColumn("own", own).groupBy("doc_id", "component", "own").agg(F.min_by("row", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("row"))
+    return told.where("not marked").select("row.*").unionAll(chosen.select("row.*"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

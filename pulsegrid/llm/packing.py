@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import column, documents, materialise, text_groups, word_tokenizer
+from pulsegrid.llm.common import column, documents, drop_tokenizers, materialise, text_groups, word_tokenizer
 
 CAPACITY = 4096
 
@@ -47,7 +47,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
                     out += [(doc_id, i, at, len(part := ids[at : at + capacity]), zlib.crc32(part)) for i, at in enumerate(range(0, len(ids), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
         if not keep_words:
-            words.kept.clear()
+            drop_tokenizers()
 
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
