@@ -218,8 +218,9 @@ def _resolve(candidates: DataFrame, docs: DataFrame, classes: DataFrame, similar
         ends = left.select(F.col("a").alias("node"), "a", "b", "estimate").unionByName(left.select(F.col("b").alias("node"), "a", "b", "estimate"))
         best = ends.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct() if first else left.select("a", "b")
         found = written(confirmed(best, full_sets(_ends(best), docs, classes), similar), "links")
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            components = connected_components(links)
         if not first:
             return links, components
         candidates, first = left.join(best, ["a", "b"], "left_anti"), False
@@ -268,33 +269,34 @@ def joining_links(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarr
 def prefix_lists(hot: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """(value, node, n, most): hot nodes under the shingles in one of which any two linked ones meet.
 
-    ``n`` is the size of the set and ``most`` the largest size that a partner can have. Shingles are counted over all hot sets, twice:
-    the second time without the sets that were found to share too few.
+    ``n`` is the size of the set and ``most`` the largest size that a partner can have. Shingles are counted over all hot sets.
     """
-    left = sets.join(hot, "node", "left_semi").dropDuplicates(["node"]).select("node", F.size("items").alias("n"), F.col("items").alias("shared"))
-    for _ in range(2):
-        rows = left.select("node", "n", F.explode("shared").alias("value"))
-        counts = written(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "hot-counts")
-        total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        ordered = spread_join(rows, counts, "value", "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value")))["value"].alias("shared"))
-        left = written(ordered.where(100 * F.size("shared") >= similar * F.col("n")), "hot-shared")
+    left = written(sets.join(hot, "node", "left_semi").dropDuplicates(["node"]), "hot-sets")
+    rows = left.select("node", F.size("items").alias("n"), F.explode("items").alias("value"))
+    counts = written(rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "hot-counts")
+    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    ordered = spread_join(rows, counts, "value", "df", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value")))["value"].alias("shared"))
+    left = ordered.where(100 * F.size("shared") >= similar * F.col("n"))
     # a partner holds at most the shared shingles: similar percent of the union bounds its size
     most = F.floor(F.size("shared") * (100 + similar) / similar + 1e-9).cast("int") - F.col("n")
     prefix = F.size("shared") - F.ceil(similar * F.col("n") / 100 - 1e-9).cast("int") + 1
     return left.select("node", "n", most.alias("most"), F.explode(F.slice("shared", F.lit(1), prefix)).alias("value"))
 
 
-def open_lists(listing: DataFrame, components: DataFrame | None) -> DataFrame:
-    """The listings (value, node, n, most, component) of lists that hold several components and sizes that may fit, with the lists' figures."""
+def open_lists(listing: DataFrame, components: DataFrame | None, again: bool) -> DataFrame:
+    """The listings (value, node, n, most, component) of lists that hold several components and sizes that may fit, with the lists' figures.
+
+    With ``again``, what is left is looked at a second time, without the nodes that no size in their list fits.
+    """
     listing = listing.join(components, "node", "left") if components is not None else listing.withColumn("component", F.lit(None).cast("long"))
     listing = written(listing.withColumn("component", F.coalesce("component", "node")), "listing")
-    for again in (True, False):  # the second time without the nodes that fit no size
+    for once_more in [True, False] if again else [False]:
         parts = listing.groupBy("value", "component").agg(F.count("*").alias("rows"), F.min("n").alias("low"), F.max("most").alias("high"), F.max(F.struct("most", "node"))["node"].alias("centre"))
         lists = parts.groupBy("value").agg(F.sum("rows").alias("df"), F.count("*").alias("components"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.struct("rows", "component", "centre")).alias("main"))
         lists = written(lists.where("components > 1"), "lists")
         total = lists.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
         found = spread_join(listing, lists, "value", "df", total).where("most >= low and n <= high")
-        if again:
+        if once_more:
             listing = written(found.select("value", "node", "n", "most", "component"), "listing")
     return written(found.withColumn("minor", F.col("component") != F.col("main.component")), "open")
 
@@ -305,7 +307,7 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, link
         return links, components
     sets = written(full_sets(hot, docs, classes), "hot-sets")
     listing = prefix_lists(hot, sets, similar)
-    open_ = open_lists(listing, components)
+    open_ = open_lists(listing, components, again=True)
     if open_.isEmpty():
         return links, components
     short = open_.where(F.col("df") <= HOT)
@@ -314,9 +316,10 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, link
     pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     stars = open_.where((F.col("df") > HOT) & F.col("minor")).select(F.least("node", "main.centre").alias("a"), F.greatest("node", "main.centre").alias("b"))
     found = written(confirmed(pairs.unionByName(stars).distinct(), sets, similar), "links")
-    links = found if links is None else links.unionByName(found)
-    components = connected_components(links)
-    long = open_lists(open_.where(F.col("df") > HOT).select("value", "node", "n", "most"), components)
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        components = connected_components(links)
+    long = open_lists(open_.where(F.col("df") > HOT).select("value", "node", "n", "most"), components, again=False)
     if long.isEmpty():
         return links, components
     blocks = lambda rows, items: F.ceil(F.greatest(rows / BLOCK, items / BLOCK_SHINGLES)).cast("int")
@@ -334,7 +337,7 @@ def _rest_of_hot_lists(hot: DataFrame, docs: DataFrame, classes: DataFrame, link
     found = written(one.unionByName(two).groupBy("value", "low", "high").applyInPandas(compare, "a long, b long").distinct(), "links")
     if found.isEmpty():
         return links, components
-    links = links.unionByName(found)
+    links = found if links is None else links.unionByName(found)
     return links, connected_components(links)
 
 

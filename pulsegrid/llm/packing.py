@@ -38,10 +38,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_tokenizer(tokenizer, 900_000 if keep_words else 250_000), np.array([end_id], dtype="<u4")
+        words, end = word_tokenizer(tokenizer, 900_000 if keep_words else 150_000), np.array([end_id], dtype="<u4")
         for batch in batches:
             doc_ids, texts, out = column(batch, "doc_id"), batch.column(batch.schema.get_field_index("text")), []
-            for group in text_groups(texts):
+            for group in text_groups(texts, 4_000_000 if keep_words else 1_000_000):
                 for doc_id, found in zip(doc_ids[group], words.encode_all(texts[group])):
                     ids = np.concatenate([found, end])
                     out += [(doc_id, i, at, len(part := ids[at : at + capacity]), zlib.crc32(part)) for i, at in enumerate(range(0, len(ids), capacity))]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import as_rows, column, documents, small_batches
+from pulsegrid.llm.common import as_rows, column, documents, release_memory, small_batches
 from pulsegrid.llm.features import counted_ngrams, document_frequencies, inverse, weighted
 from pulsegrid.llm.langid import remainder
 
@@ -113,6 +113,7 @@ def _basis(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.ndarray:
     size, left = np.linalg.eigh(x @ x.T)
     keep = [i for i in np.argsort(size)[::-1][:rank] if size[i] > 1e-6]
     right = x.T @ (left[:, keep] / np.sqrt(size[keep]))
+    del x
     return np.pad(right, ((0, 0), (0, rank - right.shape[1]))).astype(np.float32)
 
 
@@ -150,6 +151,8 @@ def _train(docs: DataFrame, labels: DataFrame, basis_rows: int, reference_rows:
     references = chosen.mapInArrow(project, "label int, vector binary").collect()
     references = sorted((r["vector"], r["label"]) for r in references)
     model.fit(np.array([np.frombuffer(v, np.float32) for v, _ in references]).reshape(len(references), rank), np.array([y for _, y in references]))
+    del sample, references
+    release_memory()  # the driver's
     return model
 
 
