@@ -131,12 +131,17 @@ def _train(docs: DataFrame, sample_rows: int, shards: int, epochs: int, most_lan
             for i in np.random.default_rng(epoch).permutation(len(held)):
                 label, index, values = held[i]
                 model.learn(index, values, label)
-        if held:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(held)], pa.int64()), "weights": pa.array([model.weights(slice(None)).tobytes()], pa.binary())})
-
-    trained = sample.where("fold > 0").repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(learn, "n long, weights binary").collect()
-    total = sum(r["n"] for r in trained)
-    weights = sum((np.frombuffer(r["weights"], np.float32).reshape(2**BITS, -1) * (r["n"] / total) for r in trained), np.zeros((2**BITS, len(languages)), np.float32))
+        if held:  # weights in units of 2**-20, so that their sum does not depend on its order; the last row counts the rows
+            weights = np.rint(model.weights(slice(None)).astype(float) * len(held) * 2**20).astype(np.int64)
+            feature, label = np.nonzero(weights)
+            parts = (np.append(feature, -1), np.append(label, 0), np.append(weights[feature, label], len(held)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int32(), pa.int32(), pa.int64()))], ["feature", "label", "weight"])
+
+    trained = sample.where("fold > 0").repartition(shards, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text")).mapInArrow(learn, "feature int, label int, weight long")
+    summed = trained.groupBy("feature", "label").agg(F.sum("weight").alias("weight")).toArrow()  # one row a weight that is not zero, however many shards
+    feature, label, weight = (summed[c].to_numpy() for c in ("feature", "label", "weight"))
+    weights, known = np.zeros((2**BITS, len(languages)), np.float32), feature >= 0
+    weights[feature[known], label[known]] = weight[known] / (2**20 * max(1, weight[~known].sum()))
     model = LanguageModel(languages, idf, weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
