@@ -349,11 +349,11 @@ def runtime_mask(spark, d):
     return rows.select("t", F.when(changed, F.expr("shiftleft(1, cast(i as int))")).otherwise(0).alias("bit")).groupBy("t").agg(F.bit_or("bit").alias("mask"))
 
 
-@query("as_of_pulse", "WITH " + HITS + ", p AS (SELECT epoch_us(o_orderdate) + 900000000000000 // 1 - 60 * 86400000000 AS pt, o_orderkey FROM orders WHERE o_orderkey % 400 = 0) SELECT seq, time, pt, o_orderkey FROM hits ASOF LEFT JOIN (SELECT pt, max(o_orderkey) AS o_orderkey FROM p GROUP BY pt) q ON hits.time >= q.pt")
+@query("as_of_pulse", "WITH " + HITS + ", p AS (SELECT epoch_us(o_orderdate) + 900000000000000 // 1 - 60 * 86400000000 AS pt, o_orderkey FROM orders) SELECT seq, time, pt, o_orderkey FROM hits ASOF LEFT JOIN (SELECT pt, max(o_orderkey) AS o_orderkey FROM p GROUP BY pt) q ON hits.time >= q.pt")
 def as_of_pulse(spark, d):
     from pulsegrid.plans.fixtures import micros
 
-    pulses = table(spark, d, "orders").where("o_orderkey % 400 = 0").select((micros("o_orderdate") + 900000000000000 - 60 * DAY).alias("pt"), "o_orderkey").groupBy("pt").agg(F.max("o_orderkey").alias("o_orderkey"))
+    pulses = table(spark, d, "orders").select((micros("o_orderdate") + 900000000000000 - 60 * DAY).alias("pt"), "o_orderkey").groupBy("pt").agg(F.max("o_orderkey").alias("o_orderkey"))
     return S.as_of(hits(spark, d), pulses, "time", "pt", ["o_orderkey"], 10 * DAY).select("seq", "time", "pt", "o_orderkey")
 
 
