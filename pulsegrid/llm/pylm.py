@@ -171,15 +171,18 @@ def draw_tables(rng: np.random.Generator, customers: np.ndarray, others: np.ndar
     tables = np.minimum(customers, 1).astype(np.int64)
     stirling = _log_stirling(discount)
     order = np.argsort(customers, kind="stable")
-    edges = np.searchsorted(customers[order], np.arange(2, EXACT + 2))
-    for c, a, b in zip(range(2, EXACT + 1), edges, edges[1:]):
-        for at in range(a, b, size := 1_000_000 // c):
-            rows = order[at : min(b, at + size)]
-            t = np.arange(1, c + 1)
+    least, begin = 2, int(np.searchsorted(customers[order], 2))
+    while least <= EXACT:  # dishes of nearly equal customers together; a Stirling number of more tables than customers is zero
+        most = min(EXACT, max(least, int(least * 1.15)))
+        end = int(np.searchsorted(customers[order], most + 1))
+        for at in range(begin, end, size := 1_000_000 // most):
+            rows = order[at : min(end, at + size)]
+            t = np.arange(1, most + 1)
             opened = np.cumsum(np.log(concentration + discount * (others[rows][:, None] + t - 1)), axis=1)
-            weight = stirling[c, 1 : c + 1] + opened + t * np.log(np.maximum(parent[rows], 1e-300))[:, None]
+            weight = stirling[customers[rows], 1 : most + 1] + opened + t * np.log(np.maximum(parent[rows], 1e-300))[:, None]
             tables[rows] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
-    rows = order[edges[-1] :]
+        least, begin = most + 1, end
+    rows = order[begin:]
     if len(rows):
         tables[rows] = draw_many(rng, customers[rows], others[rows].astype(float), parent[rows], discount, concentration)
     return tables
