@@ -62,18 +62,26 @@ def nmx_coordinate(channel: Column, asic: Column, offset: Column, reverse: Colum
     return F.when(reverse, offset + (1 - asic) * 64 + 63 - channel).otherwise(offset + asic * 64 + channel)
 
 
-def trex_wire(fen: Column, hybrid: Column, asic: Column, channel: Column, rotated: Column, x_offset: Column) -> Column:
-    """Wire coordinate (column times 16 plus depth); odd FENs are the second column of a vessel, rotation mirrors its twelve columns."""
-    valid = (hybrid == 0) & F.when(asic == 0, channel.between(32, 63)).otherwise(channel.between(0, 63))
+# Hybrid of the wires and hybrid of the short grids, of LET.
+LET_WIRES, LET_SHORT_GRIDS = 1, 0
+
+
+def trex_wire(fen: Column, hybrid: Column, asic: Column, channel: Column, rotated: Column, x_offset: Column, wires: int = 0) -> Column:
+    """Wire coordinate (column times 16 plus depth); odd FENs are the second column of a vessel, rotation mirrors its twelve columns.
+
+    ``wires`` is the hybrid that reads wires. LET takes its own (LET_WIRES), channels swapped (swap_odd_even), and even rings
+    as the second column.
+    """
+    valid = (hybrid == wires) & F.when(asic == 0, channel.between(32, 63)).otherwise(channel.between(0, 63))
     n = asic * 64 + channel - 32 + F.when(fen % 2 == 1, 96).otherwise(0)
     turned = F.when(rotated, (11 - div(n, 16)) * 16 + n % 16).otherwise(n)
     return F.when(valid, turned + 16 * x_offset)
 
 
-def trex_grid(hybrid: Column, asic: Column, channel: Column, short: Column, rotated: Column, y_offset: Column) -> Column:
-    """Grid coordinate in 16-bit unsigned arithmetic; short vessels have 51 grids on one VMM, full ones 140 on four."""
+def trex_grid(hybrid: Column, asic: Column, channel: Column, short: Column, rotated: Column, y_offset: Column, short_hybrid: int = 1) -> Column:
+    """Grid coordinate in 16-bit unsigned arithmetic; short vessels have 51 grids on one VMM (LET: LET_SHORT_GRIDS), full ones 140 on four."""
     full = F.when(hybrid == 1, F.when(asic == 0, channel.between(58, 63)).otherwise(True)).when(hybrid == 2, F.when(asic == 1, channel <= 5).otherwise(True)).otherwise(False)
-    valid = F.when(short, (hybrid == 1) & (asic == 0) & (channel <= 50)).otherwise(full)
+    valid = F.when(short, (hybrid == short_hybrid) & (asic == 0) & (channel <= 50)).otherwise(full)
     y = F.when(short, channel).otherwise((hybrid * 2 + asic - 2) * 64 + channel - 58)
     return F.when(valid, (F.when(rotated, -y).otherwise(y) + y_offset).cast("int").bitwiseAND(0xFFFF))
 
@@ -159,12 +167,20 @@ def sumo(sector: Column, number: Column, anode: Column, cathode: Column, nx: int
     return pixel2d(x, (cathode % 16) * 16 + wire_, nx, ny)
 
 
-def mantle(unit: Column, cassette: Column, counter: Column, wire_: Column, strip_: Column, nx: int = 256, ny: int = 1920) -> Column:
-    return pixel2d(strip_, 60 * wire_ + 12 * unit + 2 * cassette + counter, nx, ny)
+def mantle_parts(anode: Column) -> tuple[Column, Column]:
+    """(counter, wire) of an anode channel of a mantle, which has 32 wires a counter."""
+    return div(anode, 32) % 2, anode % 32
+
+
+def mantle(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 256) -> Column:
+    """``unit`` (mounting unit) and ``cassette`` come from the module's configuration; ``strips`` is 256 or 128 a cassette."""
+    counter, wire_ = mantle_parts(anode)
+    return pixel2d(cathode % strips, 60 * wire_ + 12 * unit + 2 * cassette + counter, strips, 1920)
 
 
-def heimdal(unit: Column, cassette: Column, counter: Column, wire_: Column, strip_: Column, nx: int, ny: int) -> Column:
-    return pixel2d(12 * unit + 2 * cassette + counter, strip_ + wire_ * 64, nx, ny)
+def heimdal(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 64) -> Column:
+    counter, wire_ = mantle_parts(anode)
+    return pixel2d(12 * unit + 2 * cassette + counter, cathode % strips + wire_ * strips, 144, 2048)
 
 
 def cuboid(anode: Column, cathode: Column, rotation: Column, x_offset: Column, y_offset: Column, nx: int, ny: int) -> Column:

@@ -24,24 +24,22 @@ def end_match(clusters: DataFrame, keys: list[str], delta: int, width: int | Non
 
 
 def center_match(clusters: DataFrame, keys: list[str], gap: int, center: str = "time_center") -> DataFrame:
-    """Pairs by cluster centre: an event closes when both planes are filled, the next centre is too far, or a plane repeats.
+    """Pairs by cluster centre: an event closes when both planes are filled, a plane repeats, or a cluster is too far off.
 
-    ``keys`` must bound the group (a packet's module): its clusters are folded in order of centre by aggregate().
-    Adds ``event``, numbered from 0 within the group.
+    Too far: more than ``gap`` lies between the bounds of the event and those of the next cluster. ``center`` orders the
+    clusters (a centre, or ``time_end``); ties go by plane, start and end. An event has at most two clusters, so its bounds
+    are those of the cluster before: along a chain of clusters that each could join the one before, every second begins an
+    event. Windows over the sorted group do this, and hold no array. Adds ``event``, numbered from 0 within the group.
     """
-    item = F.struct(F.col(center).alias("c"), F.col("plane").cast("int").alias("p"), F.col("time_start").alias("s"))
-    start = F.expr("named_struct('n', -1, 'mask', 3, 'last', cast(null as double), 'out', cast(array() as array<struct<s:bigint,p:int,event:int>>))")
-
-    def step(acc, x):
-        bit = F.when(x["p"] == 0, 1).otherwise(2)
-        close = (acc["mask"] == 3) | (acc["mask"].bitwiseAND(bit) != 0) | (x["c"] - acc["last"] > gap)
-        n = F.when(close, acc["n"] + 1).otherwise(acc["n"])
-        mask = F.when(close, bit).otherwise(acc["mask"].bitwiseOR(bit))
-        return F.struct(n.alias("n"), mask.alias("mask"), x["c"].alias("last"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), x["p"].alias("p"), n.alias("event")))).alias("out"))
-
-    typed = clusters.withColumns({center: F.col(center).cast("double"), "time_start": F.col("time_start").cast("long")})
-    folded = typed.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step)["out"].alias("out"))
-    return folded.select(*keys, F.explode("out").alias("o")).select(*keys, F.col("o.s").alias("time_start"), F.col("o.p").alias("plane"), F.col("o.event").alias("event"))
+    over = Window.partitionBy(*keys).orderBy(F.col(center).cast("double"), "plane", "time_start", "time_end")
+    before = lambda name: F.lag(name).over(over)
+    between = F.greatest("time_start", before("time_start")) - F.least("time_end", before("time_end"))
+    joins = (F.col("plane") != before("plane")) & (between <= gap)
+    rows = clusters.withColumns({"_i": F.row_number().over(over), "_joins": F.coalesce(joins, F.lit(False))})
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_begins", (F.col("_i") - F.max(F.when(~F.col("_joins"), F.col("_i"))).over(so_far)) % 2 == 0)
+    event = F.sum(F.col("_begins").cast("int")).over(so_far) - 1
+    return rows.select(*keys, F.col("time_start").cast("long"), F.col("plane").cast("int"), event.cast("int").alias("event"))
 
 
 def events(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,17 +92,21 @@ def utpc(clustered: DataFrame, keys: list[str], weighted: bool = False) -> DataF
     return ends.select(*keys, F.when(first, F.col("first.value")).otherwise(F.col("last.value")).alias("utpc"))
 
 
-def utpc_uncertainty(clustered: DataFrame, keys: list[str], max_bins: int, max_diff: int, weighted: bool = False) -> DataFrame:
-    """Mean coordinate of the hits at the end time, and spans: of those (lower), and of the last time bins (upper)."""
+def utpc_uncertainty(clustered: DataFrame, keys: list[str], max_bins: int, weighted: bool = False) -> DataFrame:
+    """Mean coordinate of the hits at the end time, and spans: of those (lower), and of the last time bins (upper).
+
+    ``hits_used`` counts the hits at the end time. A limit on the time span has no effect where it is the earlier of the
+    cluster's start and such a limit, so there is none.
+    """
     end = F.max("time").over(Window.partitionBy(*keys))
     bins = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("time")))
     rows = clustered.withColumns({"_end": end, "_bin": bins})
-    last, late = F.col("time") == F.col("_end"), (F.col("_bin") <= max_bins) & (F.col("_end") - F.col("time") <= max_diff)
+    last, late = F.col("time") == F.col("_end"), F.col("_bin") <= max_bins
     c, w = F.col("coordinate"), F.col("weight") if weighted else F.lit(1)
     span = lambda which: F.max(F.when(which, c)) - F.min(F.when(which, c)) + 1
     return rows.groupBy(*keys).agg(
         F.max("time").alias("time"), F.try_divide(F.sum(F.when(last, c * w)).cast("double"), F.sum(F.when(last, w)).cast("double")).alias("center"),
-        span(last).alias("uncert_lower"), span(late).alias("uncert_upper"), F.count(F.when(late, 1)).alias("hits_used"),
+        span(last).alias("uncert_lower"), span(late).alias("uncert_upper"), F.count(F.when(last, 1)).alias("hits_used"),
     )
 
 
@@ -116,21 +118,26 @@ def max_weight_center(clustered: DataFrame, keys: list[str], weighted: bool = Fa
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col("coordinate") * w).cast("double"), F.sum(w).cast("double")).alias("center"), F.count("*").alias("hits_used"))
 
 
-def split_events(hits: DataFrame, keys: list[str], min_span: int = 10, gap: int = 10, low: float = 0.8, high: float = 1.2) -> DataFrame:
-    """Parts an event with a wide plane into two: each plane at its first coordinate gap above ``gap``, paired by weight.
+def split_events(hits: DataFrame, keys: list[str], min_span: int = 10, gap: int = 10, low: float = 1.0, high: float = 1.0) -> DataFrame:
+    """Parts an event with a wide plane into two: each plane at its coordinate gaps above ``gap``, paired by weight.
 
-    ``hits`` has plane, coordinate, weight and the event in ``keys``. A part of plane 0 goes with the part of plane 1 whose
-    weight is within low..high times its own; only a pairing that is unambiguous counts. Rows: keys, pairing (``whole``,
-    ``straight``, ``crossed`` or ``discarded``), and the four part weights.
+    ``hits`` has plane, coordinate, weight and the event in ``keys``. A part of plane 0 fits a part of plane 1 whose weight is
+    within low..high times its own; empty parts weigh 0, as does a plane with a third part. Only a pairing counts whose both
+    links fit and neither of whose cross links does. Rows: keys, pairing, and the four part weights. Pairings: ``whole`` (no
+    wide plane, or two unbroken planes that fit: one event), ``straight``, ``crossed``, ``discarded``.
     """
     in_plane = Window.partitionBy(*keys, "plane").orderBy("coordinate", "seq")
-    rows = hits.withColumn("_jump", F.col("coordinate") - F.lag("coordinate").over(in_plane) > gap)
-    rows = rows.withColumn("_part", F.when(F.max(F.coalesce("_jump", F.lit(False)).cast("int")).over(in_plane.rowsBetween(Window.unboundedPreceding, 0)) > 0, 2).otherwise(1))
-    weight = lambda p, k: F.coalesce(F.sum(F.when((F.col("plane") == p) & (F.col("_part") == k), F.col("weight"))), F.lit(0)).cast("double")
-    span = lambda p: F.max(F.when(F.col("plane") == p, F.col("coordinate"))) - F.min(F.when(F.col("plane") == p, F.col("coordinate"))) + 1
-    sums = rows.groupBy(*keys).agg(*(weight(p, k).alias(f"{s}{k}") for p, s in ((0, "a"), (1, "b")) for k in (1, 2)), F.greatest(span(0), span(1)).alias("span"), F.countDistinct("plane").alias("planes"))
+    jump = F.coalesce(F.col("coordinate") - F.lag("coordinate").over(in_plane) > gap, F.lit(False))
+    rows = hits.withColumn("_jump", jump.cast("int"))
+    rows = rows.withColumn("_part", F.sum("_jump").over(in_plane.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+    mine = lambda p, value: F.when(F.col("plane") == p, value)
+    weight = lambda p, k: F.when(F.max(mine(p, F.col("_part"))) <= 2, F.sum(mine(p, F.when(F.col("_part") == k, F.col("weight")))))
+    span = lambda p: F.max(mine(p, F.col("coordinate"))) - F.min(mine(p, F.col("coordinate"))) + 1
+    parts = (F.coalesce(weight(p, k), F.lit(0)).cast("double").alias(f"{s}{k}") for p, s in ((0, "a"), (1, "b")) for k in (1, 2))
+    sums = rows.groupBy(*keys).agg(*parts, F.greatest(span(0), span(1)).alias("span"))
     fits = lambda a, b: (F.col(b) >= low * F.col(a)) & (F.col(b) <= high * F.col(a))
-    straight, crossed = fits("a1", "b1") & fits("a2", "b2"), fits("a1", "b2") & fits("a2", "b1")
-    two = (F.col("a2") > 0) & (F.col("b2") > 0)
-    pairing = F.when((F.col("span") < min_span) | (F.col("planes") < 2), "whole").when(two & straight & ~crossed, "straight").when(two & crossed & ~straight, "crossed").otherwise("discarded")
+    straight = fits("a1", "b1") & fits("a2", "b2") & ~fits("a1", "b2") & ~fits("a2", "b1")
+    crossed = fits("a1", "b2") & fits("a2", "b1") & ~fits("a1", "b1") & ~fits("a2", "b2")
+    unbroken = straight & (F.col("a2") == 0) & (F.col("b2") == 0)
+    pairing = F.when((F.col("span") < min_span) | unbroken, "whole").when(straight, "straight").when(crossed, "crossed").otherwise("discarded")
     return sums.select(*keys, pairing.alias("pairing"), "a1", "a2", "b1", "b2")

@@ -88,9 +88,9 @@ def as_of(left: DataFrame, right: DataFrame, time: str, right_time: str, columns
 def counter_gaps(df: DataFrame, keys: list[str], counter: str, order: list[str]) -> DataFrame:
     """(keys, accepted, dropped, missed) of counters that may repeat or go back.
 
-    A reading not above the last accepted one is dropped, unless it is 0 or 1 (the counter wrapped); gaps are missed. A
-    reading of 0, 1 or null is always accepted and opens a run; in a run the last accepted value is the greatest so far. So
-    windows over sorted rows do it, and no group is held as an array.
+    A reading equal to the last accepted one is dropped, and so is one below it, unless it is 0 or 1 (the counter wrapped);
+    gaps are missed. After a reading of 0, 1 or null that value is the last, dropped or not, so it opens a run; in a run the
+    last accepted value is the greatest so far. So windows over sorted rows do it, and no group is held as an array.
     """
     by = [*order, "_c"]
     rows = df.select(*keys, *(F.col(c) for c in order if c not in keys), F.col(counter).cast("long").alias("_c"))
@@ -99,6 +99,6 @@ def counter_gaps(df: DataFrame, keys: list[str], counter: str, order: list[str])
     rows = rows.withColumn("_run", F.sum(opens).over(over.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_last", F.max("_c").over(Window.partitionBy(*keys, "_run").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run", *by)))
-    bad = F.coalesce((F.col("_c") <= F.col("_last")) & ~F.col("_c").isin(0, 1), F.lit(False))
+    bad = F.coalesce((F.col("_c") == F.col("_last")) | ((F.col("_c") < F.col("_last")) & ~F.col("_c").isin(0, 1)), F.lit(False))
     jump = F.when(F.col("_c") > F.col("_last") + 1, F.col("_c") - F.col("_last") - 1).otherwise(0)
     return rows.groupBy(*keys).agg(F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("dropped"), F.sum(jump).alias("missed"))

@@ -164,35 +164,38 @@ def reduce_maxweight(spark, d):
     return M.max_weight_center(timed(spark, d), [*KEYS, "time_cluster"])
 
 
-@query("utpc_uncert", TIMED + f""", m AS (SELECT *, max(time) OVER (PARTITION BY module, plane, tc_id) AS last, dense_rank() OVER (PARTITION BY module, plane, tc_id ORDER BY time DESC) AS bin FROM tc)
+@query("utpc_uncert", TIMED + """, m AS (SELECT *, max(time) OVER (PARTITION BY module, plane, tc_id) AS last, dense_rank() OVER (PARTITION BY module, plane, tc_id ORDER BY time DESC) AS bin FROM tc)
  SELECT module, plane, tc_id AS time_cluster, max(time) AS time, sum(coordinate) FILTER (time = last)::DOUBLE / count(*) FILTER (time = last) AS center,
- max(coordinate) FILTER (time = last) - min(coordinate) FILTER (time = last) + 1 AS uncert_lower, max(coordinate) FILTER (bin <= 3 AND last - time <= {4 * MINUTE}) - min(coordinate) FILTER (bin <= 3 AND last - time <= {4 * MINUTE}) + 1 AS uncert_upper,
- count(*) FILTER (bin <= 3 AND last - time <= {4 * MINUTE}) AS hits_used FROM m GROUP BY ALL""")
+ max(coordinate) FILTER (time = last) - min(coordinate) FILTER (time = last) + 1 AS uncert_lower, max(coordinate) FILTER (bin <= 3) - min(coordinate) FILTER (bin <= 3) + 1 AS uncert_upper,
+ count(*) FILTER (time = last) AS hits_used FROM m GROUP BY ALL""")
 def utpc_uncert(spark, d):
-    return M.utpc_uncertainty(timed(spark, d), [*KEYS, "time_cluster"], 3, 4 * MINUTE)
+    return M.utpc_uncertainty(timed(spark, d), [*KEYS, "time_cluster"], 3)
 
 
-@query("match_split", EVENTS.replace(", evs AS", ", evs0 AS") + """, h AS (SELECT tc.*, ev.ev_id FROM tc JOIN ev USING (module, plane, tc_id)),
+def _part(plane: int, k: int) -> str:
+    return f"CASE WHEN coalesce(max(part) FILTER (plane={plane}), 3) > 2 THEN 0 ELSE coalesce(sum(weight) FILTER (plane={plane} AND part={k}), 0) END::DOUBLE AS {'ab'[plane]}{k}"
+
+
+@query("match_split", EVENTS.replace(", evs AS", ", evs0 AS") + f""", h AS (SELECT tc.*, ev.ev_id FROM tc JOIN ev USING (module, plane, tc_id)),
  j AS (SELECT *, coordinate - lag(coordinate) OVER (PARTITION BY module, ev_id, plane ORDER BY coordinate, seq) > 10 AS jump FROM h),
- q AS (SELECT *, max(CASE WHEN jump THEN 1 ELSE 0 END) OVER (PARTITION BY module, ev_id, plane ORDER BY coordinate, seq ROWS UNBOUNDED PRECEDING) + 1 AS part FROM j),
- s AS (SELECT module, ev_id, coalesce(sum(weight) FILTER (plane=0 AND part=1), 0)::DOUBLE AS a1, coalesce(sum(weight) FILTER (plane=0 AND part=2), 0)::DOUBLE AS a2, coalesce(sum(weight) FILTER (plane=1 AND part=1), 0)::DOUBLE AS b1, coalesce(sum(weight) FILTER (plane=1 AND part=2), 0)::DOUBLE AS b2,
- greatest(max(coordinate) FILTER (plane=0) - min(coordinate) FILTER (plane=0) + 1, max(coordinate) FILTER (plane=1) - min(coordinate) FILTER (plane=1) + 1) AS span, count(DISTINCT plane) AS planes FROM q GROUP BY ALL),
- f AS (SELECT *, b1 >= 0.8 * a1 AND b1 <= 1.2 * a1 AND b2 >= 0.8 * a2 AND b2 <= 1.2 * a2 AS straight, b2 >= 0.8 * a1 AND b2 <= 1.2 * a1 AND b1 >= 0.8 * a2 AND b1 <= 1.2 * a2 AS crossed FROM s)
- SELECT module, ev_id AS event, a1, a2, b1, b2, CASE WHEN span < 10 OR planes < 2 THEN 'whole' WHEN a2 > 0 AND b2 > 0 AND straight AND NOT crossed THEN 'straight' WHEN a2 > 0 AND b2 > 0 AND crossed AND NOT straight THEN 'crossed' ELSE 'discarded' END AS pairing FROM f""")
+ q AS (SELECT *, sum(CASE WHEN jump THEN 1 ELSE 0 END) OVER (PARTITION BY module, ev_id, plane ORDER BY coordinate, seq ROWS UNBOUNDED PRECEDING) + 1 AS part FROM j),
+ s AS (SELECT module, ev_id, {_part(0, 1)}, {_part(0, 2)}, {_part(1, 1)}, {_part(1, 2)},
+ greatest(max(coordinate) FILTER (plane=0) - min(coordinate) FILTER (plane=0) + 1, max(coordinate) FILTER (plane=1) - min(coordinate) FILTER (plane=1) + 1) AS span FROM q GROUP BY ALL),
+ f AS (SELECT *, b1 BETWEEN 0.8::DOUBLE * a1 AND 1.2::DOUBLE * a1 AS f11, b2 BETWEEN 0.8::DOUBLE * a2 AND 1.2::DOUBLE * a2 AS f22, b2 BETWEEN 0.8::DOUBLE * a1 AND 1.2::DOUBLE * a1 AS f12, b1 BETWEEN 0.8::DOUBLE * a2 AND 1.2::DOUBLE * a2 AS f21 FROM s)
+ SELECT module, ev_id AS event, a1, a2, b1, b2, CASE WHEN span < 10 THEN 'whole' WHEN f11 AND f22 AND NOT f12 AND NOT f21 THEN CASE WHEN a2 = 0 AND b2 = 0 THEN 'whole' ELSE 'straight' END
+ WHEN f12 AND f21 AND NOT f11 AND NOT f22 THEN 'crossed' ELSE 'discarded' END AS pairing FROM f""")
 def match_split(spark, d):
     timed_hits = timed(spark, d)
     matched = M.gap_match(clusters(spark, d), ["module"], MINUTE, width=DAY).select("module", "plane", "time_cluster", "event")
-    return M.split_events(timed_hits.join(matched, [*KEYS, "time_cluster"]), ["module", "event"])
-
-
+    return M.split_events(timed_hits.join(matched, [*KEYS, "time_cluster"]), ["module", "event"], low=0.8, high=1.2)
 
 
-@query("center_match", CLUSTERS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pk AS (SELECT module, plane, time_start, (time_start + time_end)::DOUBLE / 2 AS c, time_start // {DAY} AS packet_id FROM clusters),
- o AS (SELECT *, row_number() OVER (PARTITION BY module, packet_id ORDER BY c, plane, time_start) AS i FROM pk),
- r AS (SELECT module, packet_id, i, time_start, plane, c, 0 AS event, CASE WHEN plane = 0 THEN 1 ELSE 2 END AS mask FROM o WHERE i = 1 UNION ALL
- SELECT o.module, o.packet_id, o.i, o.time_start, o.plane, o.c, CASE WHEN r.mask = 3 OR (r.mask & (CASE WHEN o.plane = 0 THEN 1 ELSE 2 END)) <> 0 OR o.c - r.c > {MINUTE} THEN r.event + 1 ELSE r.event END,
- CASE WHEN r.mask = 3 OR (r.mask & (CASE WHEN o.plane = 0 THEN 1 ELSE 2 END)) <> 0 OR o.c - r.c > {MINUTE} THEN CASE WHEN o.plane = 0 THEN 1 ELSE 2 END ELSE r.mask | (CASE WHEN o.plane = 0 THEN 1 ELSE 2 END) END
- FROM r JOIN o ON o.module = r.module AND o.packet_id = r.packet_id AND o.i = r.i + 1)
+@query("center_match", CLUSTERS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pk AS (SELECT module, plane, time_start, time_end, (time_start + time_end)::DOUBLE / 2 AS c, time_start // {DAY} AS packet_id FROM clusters),
+ o AS (SELECT *, row_number() OVER (PARTITION BY module, packet_id ORDER BY c, plane, time_start, time_end) AS i FROM pk),
+ r AS (SELECT module, packet_id, i, time_start, plane, time_start AS s, time_end AS e, 0 AS event, CASE WHEN plane = 0 THEN 1 ELSE 2 END AS mask FROM o WHERE i = 1 UNION ALL
+ SELECT module, packet_id, i, time_start, plane, CASE WHEN shut THEN time_start ELSE least(s, time_start) END, CASE WHEN shut THEN time_end ELSE greatest(e, time_end) END, CASE WHEN shut THEN event + 1 ELSE event END, CASE WHEN shut THEN bit ELSE mask | bit END
+ FROM (SELECT o.*, r.s, r.e, r.event, r.mask, CASE WHEN o.plane = 0 THEN 1 ELSE 2 END AS bit, r.mask = 3 OR (r.mask & (CASE WHEN o.plane = 0 THEN 1 ELSE 2 END)) <> 0 OR greatest(r.s, o.time_start) - least(r.e, o.time_end) > {MINUTE} AS shut
+ FROM r JOIN o ON o.module = r.module AND o.packet_id = r.packet_id AND o.i = r.i + 1))
  SELECT module, packet_id, time_start, plane, event FROM r""")
 def center_match(spark, d):
     rows = clusters(spark, d).withColumns({"time_center": (F.col("time_start") + F.col("time_end")).cast("double") / 2, "packet_id": F.floor(F.col("time_start") / DAY)})

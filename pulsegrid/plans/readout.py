@@ -189,20 +189,20 @@ _pixels("pixel_vmm_estia", ("(suppkey % 48) * 32 + channel - 16", "(suppkey // 4
 _pixels("pixel_vmm_nmx", ("CASE WHEN line % 2 = 1 THEN (suppkey % 10) * 128 + (1 - vmm % 2) * 64 + 63 - channel ELSE (suppkey % 10) * 128 + (vmm % 2) * 64 + channel END", "(partkey % 10) * 128 + (vmm % 2) * 64 + channel", 1280, 1280),
         _on(lambda: P.pixel2d(P.nmx_coordinate(c("channel"), c("vmm") % 2, (c("suppkey") % 10) * 128, c("line") % 2 == 1), P.nmx_coordinate(c("channel"), c("vmm") % 2, (c("partkey") % 10) * 128, F.lit(False)), 1280, 1280)))
 
-_WIRE = "CASE WHEN hyb = 0 AND CASE WHEN asic = 0 THEN {ch} BETWEEN 32 AND 63 ELSE {ch} BETWEEN 0 AND 63 END THEN CASE WHEN rot THEN (11 - ({n}) // 16) * 16 + ({n}) % 16 ELSE {n} END + 16 * (suppkey % 4) END"
+_WIRE = "CASE WHEN hyb = {hyb} AND CASE WHEN asic = 0 THEN {ch} BETWEEN 32 AND 63 ELSE {ch} BETWEEN 0 AND 63 END THEN CASE WHEN rot THEN (11 - ({n}) // 16) * 16 + ({n}) % 16 ELSE {n} END + 16 * (suppkey % 4) END"
 
 
-def _trex_sql(channel: str, odd: str) -> str:
+def _trex_sql(channel: str, odd: str, hybrid: int = 0) -> str:
     n = f"(asic * 64 + {channel} - 32 + CASE WHEN {odd} THEN 96 ELSE 0 END)"
-    wire = _WIRE.format(ch=channel, n=n)
+    wire = _WIRE.format(ch=channel, n=n, hyb=hybrid)
     return RO + f""", h AS (SELECT *, vmm // 14 AS hyb, vmm % 2 AS asic, suppkey % 2 = 1 AS rot, partkey % 64 AS g FROM readouts), w AS (SELECT packet_id, line, {wire} AS wire, (64 + g - 58) AS grid FROM h)
  SELECT packet_id, line, CASE WHEN wire // 16 BETWEEN 0 AND 383 AND grid BETWEEN 0 AND 139 THEN CAST(wire // 16 + grid * 384 + 1 + (wire % 16) * 384 * 140 AS BIGINT) END AS pixel_id FROM w"""
 
 
-def _trex(channel, odd):
+def _trex(channel, odd, **let):
     hybrid, asic = T.div(c("vmm"), 14), c("vmm") % 2
     grid = P.trex_grid(F.lit(1), F.lit(1), c("partkey") % 64, F.lit(False), F.lit(False), F.lit(0))
-    return P.trex_pixel(P.trex_wire(F.when(odd, 1).otherwise(0), hybrid, asic, channel, c("suppkey") % 2 == 1, c("suppkey") % 4), grid)
+    return P.trex_pixel(P.trex_wire(F.when(odd, 1).otherwise(0), hybrid, asic, channel, c("suppkey") % 2 == 1, c("suppkey") % 4, **let), grid)
 
 
 @query("pixel_vmm_trex", _trex_sql("channel", "fen % 2 = 1"))
@@ -213,16 +213,17 @@ def pixel_vmm_trex(spark, d):
 _SWAPPED = "(CASE WHEN channel % 2 = 0 THEN channel + 1 ELSE channel - 1 END)"
 
 
-@query("pixel_vmm_let", _trex_sql(_SWAPPED, "(fiber // 2) % 2 = 0"))
+@query("pixel_vmm_let", _trex_sql(_SWAPPED, "(fiber // 2) % 2 = 0", P.LET_WIRES))
 def pixel_vmm_let(spark, d):
-    return readouts(spark, d).select("packet_id", "line", _trex(P.swap_odd_even(c("channel")), V.ring(c("fiber")) % 2 == 0).alias("pixel_id"))
+    return readouts(spark, d).select("packet_id", "line", _trex(P.swap_odd_even(c("channel")), V.ring(c("fiber")) % 2 == 0, wires=P.LET_WIRES).alias("pixel_id"))
 
 
 _CASSETTE = "(CASE sumo WHEN 6 THEN 2 * (cathode // 16) - anode // 32 WHEN 5 THEN anode // 32 + 2 * (cathode // 16) WHEN 4 THEN anode // 32 + 2 * (cathode // 16) - 1 WHEN 3 THEN anode // 32 + 2 * (cathode // 32) END & 255)"
 _pixels("pixel_cdt_sumo", ("(fiber * 56 + CASE WHEN fiber > 22 THEN NULL WHEN sumo = 3 AND cas < 4 THEN 48 WHEN sumo = 4 AND cas < 6 THEN 36 WHEN sumo = 5 AND cas < 8 THEN 20 WHEN sumo = 6 AND cas < 10 THEN 0 END + 2 * cas + (anode // 16) % 2)", "(cathode % 16) * 16 + anode % 16", 1288, 256),
         _on(lambda: P.sumo(c("fiber"), c("line") % 4 + 3, c("anode"), c("cathode"), 1288, 256)), RO + f", s0 AS (SELECT *, line % 4 + 3 AS sumo FROM readouts), s AS (SELECT *, {_CASSETTE} AS cas FROM s0)", "s")
-_pixels("pixel_cdt_mantle", ("cathode", "60 * (anode % 16) + 12 * (line % 5) + 2 * (anode // 32) + (anode // 16) % 2", 256, 1920), _on(lambda: P.mantle(c("line") % 5, T.div(c("anode"), 32), P.cdt_parts(c("anode"))[0], P.cdt_parts(c("anode"))[1], c("cathode"))))
-_pixels("pixel_cdt_heimdal", ("12 * (line % 5) + 2 * (anode // 32) + (anode // 16) % 2", "cathode + (anode % 16) * 64", 60, 2048), _on(lambda: P.heimdal(c("line") % 5, T.div(c("anode"), 32), P.cdt_parts(c("anode"))[0], P.cdt_parts(c("anode"))[1], c("cathode"), 60, 2048)))
+_MANTLE = "2 * (partkey % 6) + (anode // 32) % 2"
+_pixels("pixel_cdt_mantle", ("cathode % 256", f"60 * (anode % 32) + 12 * (line % 5) + {_MANTLE}", 256, 1920), _on(lambda: P.mantle(c("line") % 5, c("partkey") % 6, c("anode"), c("cathode"))))
+_pixels("pixel_cdt_heimdal", (f"12 * (suppkey % 12) + {_MANTLE}", "cathode % 64 + (anode % 32) * 64", 144, 2048), _on(lambda: P.heimdal(c("suppkey") % 12, c("partkey") % 6, c("anode"), c("cathode"))))
 _X, _Y = "(2 * (anode // 32 + 2 * (cathode // 32)) + (anode // 16) % 2)", "(15 - anode % 16)"
 _pixels("pixel_cdt_cuboid", (f"16 * (suppkey % 7) + CASE line % 4 WHEN 1 THEN 15 - {_Y} WHEN 2 THEN 15 - {_X} WHEN 3 THEN {_Y} ELSE {_X} END", f"112 * (cathode % 32) + 16 * (partkey % 7) + CASE line % 4 WHEN 1 THEN {_X} WHEN 2 THEN 15 - {_Y} WHEN 3 THEN 15 - {_X} ELSE {_Y} END", 112, 3584),
         _on(lambda: P.cuboid(c("anode"), c("cathode"), c("line") % 4, 16 * (c("suppkey") % 7), 16 * (c("partkey") % 7), 112, 3584)))
@@ -359,8 +360,8 @@ def as_of_pulse(spark, d):
 
 @query("counter_gap_fold", "WITH RECURSIVE " + HITS + """, o AS (SELECT module, time // 3600000000 AS hour, seq % 11 AS c, row_number() OVER (PARTITION BY module, time // 3600000000 ORDER BY time, seq) AS i FROM hits),
  r AS (SELECT module, hour, i, c AS last, 1 AS ok, 0 AS dropped, 0::BIGINT AS missed FROM o WHERE i = 1 UNION ALL
- SELECT o.module, o.hour, o.i, CASE WHEN o.c <= r.last AND o.c NOT IN (0, 1) THEN r.last ELSE o.c END, CASE WHEN o.c <= r.last AND o.c NOT IN (0, 1) THEN r.ok ELSE r.ok + 1 END,
- CASE WHEN o.c <= r.last AND o.c NOT IN (0, 1) THEN r.dropped + 1 ELSE r.dropped END, CASE WHEN o.c > r.last + 1 THEN r.missed + o.c - r.last - 1 ELSE r.missed END
+ SELECT o.module, o.hour, o.i, CASE WHEN (o.c = r.last OR (o.c < r.last AND o.c NOT IN (0, 1))) THEN r.last ELSE o.c END, CASE WHEN (o.c = r.last OR (o.c < r.last AND o.c NOT IN (0, 1))) THEN r.ok ELSE r.ok + 1 END,
+ CASE WHEN (o.c = r.last OR (o.c < r.last AND o.c NOT IN (0, 1))) THEN r.dropped + 1 ELSE r.dropped END, CASE WHEN o.c > r.last + 1 THEN r.missed + o.c - r.last - 1 ELSE r.missed END
  FROM r JOIN o ON o.module = r.module AND o.hour = r.hour AND o.i = r.i + 1)
  SELECT module, hour, arg_max(ok, i)::BIGINT AS accepted, arg_max(dropped, i)::BIGINT AS dropped, arg_max(missed, i)::BIGINT AS missed FROM r GROUP BY ALL""")
 def counter_gap_fold(spark, d):

@@ -46,7 +46,7 @@ def pair_triggers(records: DataFrame, tolerance: int = 20_000_000) -> DataFrame:
     """Pairs of pulse records (side ``evr``) and trigger records (side ``tdc``) of a source, by arrival time.
 
     The latest of each side is kept. A pair is put out on every arrival whose other side is at most ``tolerance`` away.
-    A record whose counter is not above the last accepted one is dropped, unless it is 0 or 1; gaps are counted.
+    A record whose counter equals the last accepted one is dropped, as is one below it, unless it is 0 or 1; gaps are counted.
     ``records``: source, side, arrival, counter, value.
     """
     out = "source string, arrival long, pulse long, trigger long, missed long, dropped long"
@@ -59,7 +59,7 @@ def pair_triggers(records: DataFrame, tolerance: int = 20_000_000) -> DataFrame:
             for r in frame.sort_values(["arrival", "side"]).itertuples():
                 at = 0 if r.side == "evr" else 3
                 last = s[at + 2]
-                if last >= 0 and r.counter <= last and r.counter not in (0, 1):
+                if last >= 0 and (r.counter == last or (r.counter < last and r.counter not in (0, 1))):
                     s[7] += 1
                     continue
                 if last >= 0 and r.counter > last + 1:

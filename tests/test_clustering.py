@@ -69,7 +69,7 @@ def test_seed_clusters_equal_a_fold(spark):
 
 def test_center_match_closes_on_a_repeated_plane(spark):
     rows = [("m", 0, 10, 10.0), ("m", 1, 12, 12.0), ("m", 0, 13, 13.0), ("m", 0, 14, 14.0), ("m", 1, 100, 100.0)]
-    df = spark.createDataFrame(rows, "module string, plane int, time_start long, time_center double")
+    df = spark.createDataFrame(rows, "module string, plane int, time_start long, time_center double").withColumn("time_end", F.col("time_start"))
     found = M.center_match(df, ["module"], 20).collect()
     assert [(r.time_start, r.event) for r in sorted(found, key=lambda r: r.time_start)] == [(10, 0), (12, 0), (13, 1), (14, 2), (100, 3)]
 
