@@ -193,6 +193,36 @@ def cuboid(anode: Column, cathode: Column, rotation: Column, x_offset: Column, y
     return pixel2d(x_offset + tx, 112 * (cathode % 32) + y_offset + ty, nx, ny)
 
 
+# X offset, y offset and quarter turns of the cuboids of two detectors, by their index.
+CUBOIDS = {
+    "sans": [
+        (32, 0, 0), (48, 0, 1), (64, 0, 1),
+        (16, 16, 0), (32, 16, 0), (48, 16, 1), (64, 16, 1), (80, 16, 1),
+        (0, 32, 0), (16, 32, 0), (32, 32, 0), (48, 32, 1), (64, 32, 1), (80, 32, 1), (96, 32, 1),
+        (0, 48, 0), (16, 48, 0), (32, 48, 0), (64, 48, 2), (80, 48, 2), (96, 48, 2),
+        (0, 64, 3), (16, 64, 3), (32, 64, 3), (48, 64, 3), (64, 64, 2), (80, 64, 2), (96, 64, 2),
+        (16, 80, 3), (32, 80, 3), (48, 80, 3), (64, 80, 2), (80, 80, 2),
+        (32, 96, 3), (48, 96, 3), (64, 96, 2),
+    ],
+    "hr": [
+        (32, 0, 0), (48, 0, 1), (64, 0, 1),
+        (16, 16, 0), (32, 16, 0), (48, 16, 1), (64, 16, 1), (80, 16, 1),
+        (0, 32, 0), (16, 32, 0), (32, 32, 0), (48, 32, 1), (64, 32, 1), (80, 32, 1), (96, 32, 1),
+        (0, 48, 0), (16, 48, 0), (32, 48, 0), (64, 48, 2), (80, 48, 2), (96, 48, 2),
+        (0, 64, 3), (16, 64, 3), (32, 64, 3), (64, 64, 2), (80, 64, 2), (96, 64, 2),
+        (16, 80, 3), (32, 80, 3), (64, 80, 2), (80, 80, 2),
+        (32, 96, 3), (64, 96, 2),
+    ],
+}
+
+
+def cuboid_at(kind: str, unit: Column, first: Column, second: Column, anode: Column, cathode: Column) -> Column:
+    """Pixel in the cuboids of ``kind``: unit 0 reads the module's first index, unit 1 its second; null for other units and indices."""
+    index = F.when(unit == 0, first).when(unit == 1, second).cast("int")
+    place = F.get(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, ("x", "y", "turn")))) for p in CUBOIDS[kind])), index)
+    return F.when(place.isNotNull(), cuboid(anode, cathode, place["turn"], place["x"], place["y"], 112, 112 * 32))
+
+
 def pa(sector: Column, anode: Column, cathode: Column, nx: int, ny: int) -> Column:
     counter, wire_ = cdt_parts(anode)
     return pixel2d(sector * 32 + 2 * (div(anode, 32) + 4 * div(cathode, 64)) + counter, (cathode % 32) * 16 + wire_, nx, ny)

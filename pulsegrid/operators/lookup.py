@@ -34,9 +34,9 @@ def interval_of(units: Column, position: Column) -> Column:
 
 
 def corrected(found: Column, position: Column) -> Column:
-    """Position after the unit's cubic correction, clamped to 0..1."""
+    """Position after the unit's cubic correction, clamped to 0..1; null where no unit was found."""
     raw = cubic(position, found["a"], found["b"], found["c"], found["d"])
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+    return F.when(found.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
 def overlapping_intervals(intervals: DataFrame, key: str, epsilon: float = 1e-5) -> DataFrame:

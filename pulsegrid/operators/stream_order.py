@@ -8,20 +8,44 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.timebase import div
 
 
-def sequence_errors(df: DataFrame, keys: list[str], seq: str, order: list[str]) -> DataFrame:
+def _carried(sliced: DataFrame, per_slice: DataFrame, slices: list[str], name: str) -> DataFrame:
+    """``sliced`` with the column ``name`` of its slice; null keys are keys like others."""
+    renamed = per_slice.select(*(F.col(k).alias(f"_of_{k}") for k in slices), name)
+    same = [sliced[k].eqNullSafe(renamed[f"_of_{k}"]) for k in slices]
+    return sliced.join(renamed, same, "left").drop(*(f"_of_{k}" for k in slices))
+
+
+def neighbour(df: DataFrame, keys: list[str], order: list[str], columns: list[str], width: int, ahead: bool = False) -> DataFrame:
+    """``df`` with ``beside``: ``columns`` of the row before (``ahead``: after) it within ``keys``, as a struct; null at the end.
+
+    Windows run in slices of ``width`` of the first column of ``order``, a number; between slices one row a slice travels, so
+    no key is ordered in one task.
+    """
+    slices, value = [*keys, "_slice"], F.struct(*columns)
+    edge, step = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+    sliced = df.withColumn("_slice", F.floor(F.col(order[0]) / width))
+    edges = sliced.groupBy(*slices).agg(edge(value, F.struct(*order)).alias("_edge"))
+    edges = edges.withColumn("_edge", step("_edge").over(Window.partitionBy(*keys).orderBy("_slice")))
+    beside = step(value).over(Window.partitionBy(*slices).orderBy(*order))
+    return _carried(sliced.withColumn("beside", beside), edges, slices, "_edge").withColumn("beside", F.coalesce("beside", "_edge")).drop("_slice", "_edge")
+
+
+def sequence_errors(df: DataFrame, keys: list[str], seq: str, order: list[str], width: int) -> DataFrame:
     """``df`` with ``sequence_error``: the number is not the one after its predecessor's; the first should be 0."""
-    expected = F.coalesce(F.lag(seq).over(Window.partitionBy(*keys).orderBy(*order)) + 1, F.lit(0))
-    return df.withColumn("sequence_error", F.col(seq) != expected)
+    expected = F.coalesce(F.col("beside")[seq] + 1, F.lit(0))
+    return neighbour(df, keys, order, [seq], width).withColumn("sequence_error", F.col(seq) != expected).drop("beside")
 
 
-def numbered(df: DataFrame, order: str, width: int, name: str = "rn") -> DataFrame:
-    """``df`` with its 1-based rank by ``order``, a unique LONG: windows run in slices of ``width``, offsets over one row a slice."""
+def numbered(df: DataFrame, order: str, width: int, name: str = "rn", keys: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
+    """``df`` with its 1-based rank by ``order``, a LONG (and ``ties``), within ``keys``: windows run in slices of ``width``, offsets over one row a slice."""
+    keys = keys or []
+    slices = [*keys, "_slice"]
     sliced = df.withColumn("_slice", F.floor(F.col(order) / width))
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
-    return sliced.join(offsets, "_slice").withColumn(name, (F.col("_before") + rank).cast("long")).drop("_slice", "_before")
+    sizes = sliced.groupBy(*slices).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*slices, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*slices).orderBy(order, *(ties or [])))
+    return _carried(sliced, offsets, slices, "_before").withColumn(name, (F.col("_before") + rank).cast("long")).drop("_slice", "_before")
 
 
 def sample(df: DataFrame, order: str, period: int, samples: int, width: int) -> DataFrame:
@@ -45,9 +69,9 @@ def event_batches(df: DataFrame, source: str, reference: str, order: list[str],
     return grouped.select(source, reference, "chunk", *(F.col("_rows")[c].alias(c) for c in columns))
 
 
-def with_message_ids(batches: DataFrame, source: str, reference: str) -> DataFrame:
-    """Messages of a source numbered from 1 in order of reference time and chunk."""
-    return batches.withColumn("message_id", F.row_number().over(Window.partitionBy(source).orderBy(reference, "chunk")))
+def with_message_ids(batches: DataFrame, source: str, reference: str, width: int) -> DataFrame:
+    """Messages of a source numbered from 1 in order of reference time and chunk, in slices of ``width`` of the reference time."""
+    return numbered(batches, reference, width, "message_id", [source], ["chunk"])
 
 
 def rates(counters: DataFrame, name: str, time: str, value: str) -> DataFrame:
@@ -58,8 +82,8 @@ def rates(counters: DataFrame, name: str, time: str, value: str) -> DataFrame:
 
 
 def runtime_mask(counters: DataFrame, time: str, index: str, value: str) -> DataFrame:
-    """(time, mask): bit i is set if counter i changed since its reading before; the first reading compares with 0."""
-    changed = F.col(value) != F.coalesce(F.lag(value).over(Window.partitionBy(index).orderBy(time)), F.lit(0))
+    """(time, mask): bit i is set if counter i changed since its reading before; the first reading compares with 0. Readings of one time go by value."""
+    changed = F.col(value) != F.coalesce(F.lag(value).over(Window.partitionBy(index).orderBy(time, value)), F.lit(0))
     bits = counters.select(time, F.when(changed, F.call_function("shiftleft", F.lit(1), F.col(index).cast("int"))).otherwise(0).alias("_bit"))
     return bits.groupBy(time).agg(F.bit_or("_bit").alias("mask"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.pixels import vmm_pixel
 from pulsegrid.operators import cluster as C
 from pulsegrid.operators import match as M
+from pulsegrid.operators import stream_order as S
 from pulsegrid.plans.catalog import query
 from pulsegrid.plans.fixtures import DAY, HITS, MINUTE, hits
 
@@ -215,9 +216,6 @@ def seed_cluster_2d(spark, d):
 @query("cluster_gaps", CLUSTERS + """, n AS (SELECT module, plane, tc_id, time_start, time_end, lead(time_start) OVER w AS s2, lead(time_end) OVER w AS e2 FROM clusters WINDOW w AS (PARTITION BY module ORDER BY time_start, plane))
  SELECT module, plane, time_start, greatest(least(time_end, e2) - greatest(time_start, s2) + 1, 0) AS overlap, greatest(greatest(time_start, s2) - least(time_end, e2), 0) AS gap FROM n WHERE s2 IS NOT NULL""")
 def cluster_gaps(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("module").orderBy("time_start", "plane")
-    rows = clusters(spark, d).withColumns({"s2": F.lead("time_start").over(w), "e2": F.lead("time_end").over(w)}).where("s2 IS NOT NULL")
-    a = [F.col(c) for c in ("time_start", "time_end", "s2", "e2")]
+    rows = S.neighbour(clusters(spark, d), ["module"], ["time_start", "plane"], ["time_start", "time_end"], DAY, ahead=True).where("beside IS NOT NULL")
+    a = [F.col(c) for c in ("time_start", "time_end", "beside.time_start", "beside.time_end")]
     return rows.select("module", "plane", "time_start", C.time_overlap(*a).alias("overlap"), C.time_gap(*a).alias("gap"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import pixels as P
@@ -105,9 +104,9 @@ def interval_lookup(spark, d):
     return _located(spark, d).select("packet_id", "line", "grp", "p", "u.unit")
 
 
-@query("poly_correction", LOCATED + " SELECT packet_id, line, unit, greatest(0.0::DOUBLE, least(1.0::DOUBLE, p - (a + p * (b + p * (c + p * d))))) AS corrected FROM u WHERE unit IS NOT NULL")
+@query("poly_correction", LOCATED + " SELECT packet_id, line, unit, CASE WHEN unit IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, p - (a + p * (b + p * (c + p * d))))) END AS corrected FROM u")
 def poly_correction(spark, d):
-    return _located(spark, d).where("u IS NOT NULL").select("packet_id", "line", "u.unit", L.corrected(c("u"), c("p")).alias("corrected"))
+    return _located(spark, d).select("packet_id", "line", "u.unit", L.corrected(c("u"), c("p")).alias("corrected"))
 
 
 @query("adc_tdc_calibration", RO + ", k AS (SELECT p_partkey AS channel, p_size / 100.0::DOUBLE AS off, 1 + p_size / 1000.0::DOUBLE AS slope FROM part WHERE p_partkey < 64) SELECT packet_id, line, CAST(trunc(greatest(0.0::DOUBLE, least(1023.0::DOUBLE, ((adc & 1023) - off) * slope))) AS INT) AS adc, ((1.5::DOUBLE * 22.72::DOUBLE) - 60.0::DOUBLE * (suppkey % 256) / 255.0::DOUBLE - off) * slope AS tdc FROM readouts JOIN k USING (channel)")
@@ -148,22 +147,22 @@ def _pixels(name: str, xy: tuple[str, str, int, int], build, source: str = RO, r
 _on = lambda column: lambda spark, d: readouts(spark, d).withColumn("pixel_id", column())
 _pixels("pixel_cspec", ("(fiber // 2) * 75 + (grp % 24) * 3", "CASE WHEN amp_a + amp_b <> 0 THEN (74 * amp_a) // (amp_a + amp_b) END", 900, 180), _on(lambda: P.cspec(V.ring(c("fiber")), c("grp"), c("amp_a"), c("amp_b"))))
 _pixels("pixel_bifrost", ("((fiber // 2) % 3) * 300 + (grp % 3) * 100 + CAST(trunc((p - lo) / (hi - lo) * 99) AS BIGINT)", "(grp // 3) * 3 + unit % 3", 900, 15),
-        lambda spark, d: _bifrost(spark, d), LOCATED.replace("SELECT packet_id, line, suppkey,", "SELECT packet_id, line, suppkey, fiber,").replace("CAST(partkey % 24 AS INT) AS grp", "CAST(partkey % 15 AS INT) AS grp"), "u WHERE unit IS NOT NULL")
+        lambda spark, d: _bifrost(spark, d), LOCATED.replace("SELECT packet_id, line, suppkey,", "SELECT packet_id, line, suppkey, fiber,").replace("CAST(partkey % 24 AS INT) AS grp", "CAST(partkey % 15 AS INT) AS grp"), "u")
 
 
 def _bifrost(spark, d):
     r = readouts(spark, d).where("amp_a + amp_b > 0").withColumns({"grp": (c("partkey") % 15).cast("int"), "p": c("amp_a").cast("double") / (c("amp_a") + c("amp_b"))})
-    r = L.lookup(r, L.interval_table(intervals(spark, d), "grp"), ["grp"]).withColumn("u", L.interval_of(c("units"), c("p"))).where("u IS NOT NULL")
+    r = L.lookup(r, L.interval_table(intervals(spark, d), "grp"), ["grp"]).withColumn("u", L.interval_of(c("units"), c("p")))
     relative = (c("p") - c("u.lo")) / (c("u.hi") - c("u.lo"))
     return r.withColumn("pixel_id", P.bifrost(V.ring(c("fiber")) % 3, c("grp"), c("u.unit") % 3, relative))
 
 
 def _tbl3he(spark, d):
-    r = _located(spark, d).where("u IS NOT NULL")
+    r = _located(spark, d)
     return r.withColumn("pixel_id", P.tbl3he(c("suppkey") % 2, c("line") % 4, L.corrected(c("u"), c("p"))))
 
 
-_pixels("pixel_tbl3he", ("CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, p - (a + p * (b + p * (c + p * d))))) * 99) AS BIGINT)", "(suppkey % 2) * 4 + line % 4", 100, 8), _tbl3he, LOCATED, "u WHERE unit IS NOT NULL")
+_pixels("pixel_tbl3he", ("CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, p - (a + p * (b + p * (c + p * d))))) * 99) AS BIGINT)", "CASE WHEN unit IS NOT NULL THEN (suppkey % 2) * 4 + line % 4 END", 100, 8), _tbl3he, LOCATED, "u")
 
 
 def _loki(spark, d):
@@ -227,6 +226,19 @@ _pixels("pixel_cdt_heimdal", (f"12 * (suppkey % 12) + {_MANTLE}", "cathode % 64
 _X, _Y = "(2 * (anode // 32 + 2 * (cathode // 32)) + (anode // 16) % 2)", "(15 - anode % 16)"
 _pixels("pixel_cdt_cuboid", (f"16 * (suppkey % 7) + CASE line % 4 WHEN 1 THEN 15 - {_Y} WHEN 2 THEN 15 - {_X} WHEN 3 THEN {_Y} ELSE {_X} END", f"112 * (cathode % 32) + 16 * (partkey % 7) + CASE line % 4 WHEN 1 THEN {_X} WHEN 2 THEN 15 - {_Y} WHEN 3 THEN 15 - {_X} ELSE {_Y} END", 112, 3584),
         _on(lambda: P.cuboid(c("anode"), c("cathode"), c("line") % 4, 16 * (c("suppkey") % 7), 16 * (c("partkey") % 7), 112, 3584)))
+
+
+def _cuboids(kind: str) -> None:
+    """Cuboids of a detector at their places; the unit chooses which of the module's two indices counts, and a third unit has none."""
+    places = ", ".join(f"[{x}, {y}, {turn}]" for x, y, turn in P.CUBOIDS[kind])
+    source = RO + f", r0 AS (SELECT *, list_extract([{places}], CASE line % 3 WHEN 0 THEN suppkey % 40 WHEN 1 THEN partkey % 40 END::BIGINT + 1) AS place, {_X} AS lx, {_Y} AS ly FROM readouts)"
+    x = "place[1] + CASE place[3] WHEN 1 THEN 15 - ly WHEN 2 THEN 15 - lx WHEN 3 THEN ly ELSE lx END"
+    y = "112 * (cathode % 32) + place[2] + CASE place[3] WHEN 1 THEN lx WHEN 2 THEN 15 - ly WHEN 3 THEN 15 - lx ELSE ly END"
+    _pixels(f"pixel_cdt_cuboid_{kind}", (x, y, 112, 3584), _on(lambda: P.cuboid_at(kind, c("line") % 3, c("suppkey") % 40, c("partkey") % 40, c("anode"), c("cathode"))), source, "r0")
+
+
+_cuboids("sans")
+_cuboids("hr")
 _pixels("pixel_cdt_pa", ("(fiber % 8) * 32 + 2 * (anode // 32 + 4 * (cathode // 64)) + (anode // 16) % 2", "(cathode % 32) * 16 + anode % 16", 256, 512), _on(lambda: P.pa(c("fiber") % 8, c("anode"), c("cathode"), 256, 512)))
 
 
@@ -307,7 +319,7 @@ def dynamic_histogram(spark, d):
 @query("sequence_errors", "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders), s AS (SELECT o_custkey % 50 AS queue, o_orderkey, o_orderkey // 50 AS seq FROM r), w AS (SELECT *, seq <> coalesce(lag(seq) OVER (PARTITION BY queue ORDER BY o_orderkey) + 1, 0) AS bad FROM s) SELECT queue, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) AS n FROM w GROUP BY ALL")
 def sequence_errors(spark, d):
     rows = table(spark, d, "orders").select((c("o_custkey") % 50).alias("queue"), "o_orderkey", T.div(c("o_orderkey"), 50).alias("seq"))
-    return S.sequence_errors(rows, ["queue"], "seq", ["o_orderkey"]).groupBy("queue").agg(F.sum(c("sequence_error").cast("long")).alias("errors"), F.count("*").alias("n"))
+    return S.sequence_errors(rows, ["queue"], "seq", ["o_orderkey"], 100_000).groupBy("queue").agg(F.sum(c("sequence_error").cast("long")).alias("errors"), F.count("*").alias("n"))
 
 
 @query("raw_sample", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events) SELECT event_id FROM r WHERE rn % 100 < 2")
@@ -324,7 +336,7 @@ def chrono_merge(spark, d):
  SELECT *, row_number() OVER (PARTITION BY source ORDER BY pulse, chunk) AS message_id FROM b""")
 def ev44_batches(spark, d):
     rows = _ok(spark, d).withColumn("pixel_id", c("suppkey"))
-    out = S.with_message_ids(S.event_batches(rows, "source", "pulse", ["tof", "l_orderkey", "l_linenumber", "suppkey", "weight"], 4, ["tof", "pixel_id"]), "source", "pulse")
+    out = S.with_message_ids(S.event_batches(rows, "source", "pulse", ["tof", "l_orderkey", "l_linenumber", "suppkey", "weight"], 4, ["tof", "pixel_id"]), "source", "pulse", 30 * DAY)
     return out.withColumns({"tof": F.to_json("tof"), "pixel_id": F.to_json("pixel_id")})
 
 
@@ -346,8 +358,7 @@ def rates(spark, d):
 @query("runtime_mask", f"WITH r AS (SELECT t, CAST(ascii(name) % 16 AS INT) AS i, v % 7 AS v FROM ({_READINGS})), w AS (SELECT t, CASE WHEN v <> coalesce(lag(v) OVER (PARTITION BY i ORDER BY t, v), 0) THEN 1 << i ELSE 0 END AS bit FROM r) SELECT t, CAST(bit_or(bit) AS INT) AS mask FROM w GROUP BY t")
 def runtime_mask(spark, d):
     rows = _readings(spark, d).select("t", (F.ascii("name") % 16).alias("i"), (c("v") % 7).alias("v"))
-    changed = c("v") != F.coalesce(F.lag("v").over(Window.partitionBy("i").orderBy("t", "v")), F.lit(0))
-    return rows.select("t", F.when(changed, F.expr("shiftleft(1, cast(i as int))")).otherwise(0).alias("bit")).groupBy("t").agg(F.bit_or("bit").alias("mask"))
+    return S.runtime_mask(rows, "t", "i", "v")
 
 
 @query("as_of_pulse", "WITH " + HITS + ", p AS (SELECT epoch_us(o_orderdate) + 900000000000000 // 1 - 60 * 86400000000 AS pt, o_orderkey FROM orders) SELECT seq, time, pt, o_orderkey FROM hits ASOF LEFT JOIN (SELECT pt, max(o_orderkey) AS o_orderkey FROM p GROUP BY pt) q ON hits.time >= q.pt")

@@ -9,10 +9,13 @@ from pulsegrid.operators.histogram import densify, shifted_counts
 from pulsegrid.operators.stream_order import event_batches, with_message_ids
 
 
-def event_messages(events: DataFrame, size: int = 12_400) -> DataFrame:
-    """Event messages: source, reference_time, message_id, tof[], pixel_id[]; events of one reference time, ``size`` at most."""
+def event_messages(events: DataFrame, size: int = 12_400, width: int = 3_600_000_000_000) -> DataFrame:
+    """Event messages: source, reference_time, message_id, tof[], pixel_id[]; events of one reference time, ``size`` at most.
+
+    Messages are numbered in slices of ``width`` of the reference time (an hour of nanoseconds).
+    """
     batches = event_batches(events, "source", "reference_time", ["tof", "pixel_id"], size, ["tof", "pixel_id"])
-    return with_message_ids(batches, "source", "reference_time").drop("chunk")
+    return with_message_ids(batches, "source", "reference_time", width).drop("chunk")
 
 
 def hit_messages(hits: DataFrame, size: int, order: list[str]) -> DataFrame:

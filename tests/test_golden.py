@@ -106,3 +106,21 @@ def test_mantle_has_32_wires_a_counter(spark):
     assert value(spark, P.mantle(F.lit(0), F.lit(0), F.lit(31), F.lit(0))) == 60 * 31 * 256 + 1
     assert value(spark, P.mantle(F.lit(0), F.lit(0), F.lit(32), F.lit(5))) == 256 + 5 + 1
     assert value(spark, P.mantle(F.lit(0), F.lit(0), F.lit(0), F.lit(130), strips=128)) == 3
+
+
+def test_neighbours_and_ranks_cross_slices(spark):
+    rows = [(k, t, i) for k in ("a", None) for i, t in enumerate([1, 2, 2, 95, 96, 1005])]
+    df = spark.createDataFrame(rows, "k string, t long, i int")
+    for ahead, expected in ((False, [None, 0, 1, 2, 3, 4]), (True, [1, 2, 3, 4, 5, None])):
+        found = S.neighbour(df, ["k"], ["t", "i"], ["i"], 50, ahead).orderBy("k", "i").collect()
+        assert [r.beside and r.beside.i for r in found] == expected * 2
+    assert {(r.k, r.i, r.n) for r in S.numbered(df, "t", 50, "n", ["k"], ["i"]).collect()} == {(k, i, i + 1) for k, _, i in rows}
+
+
+@pytest.mark.parametrize("kind, unit, first, second, pixel", [
+    ("sans", 0, 0, 40, 15 * 112 + 32 + 1), ("sans", 1, 40, 0, 15 * 112 + 32 + 1), ("sans", 2, 0, 0, None), ("sans", 0, 36, 0, None), ("sans", 0, 35, 0, 96 * 112 + 64 + 15 + 1),
+    ("hr", 0, 32, 0, 96 * 112 + 64 + 15 + 1), ("hr", 0, 33, 0, None),
+])
+def test_cuboids(spark, kind, unit, first, second, pixel):
+    """Anode and cathode 0 are the local cell (0, 15); two quarter turns take it to (15, 0)."""
+    assert value(spark, P.cuboid_at(kind, *(F.lit(v) for v in (unit, first, second, 0, 0)))) == pixel
