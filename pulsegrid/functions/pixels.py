@@ -104,6 +104,11 @@ def loki(bank_y: Column, groups_n: Column, fen_offset: Column, fen: Column, g: C
     return pixel2d(F.round(position * (resolution - 1)).cast("long"), y, resolution, total_groups * 7)
 
 
+def loki_group(bank_y: Column, groups_n: Column, fen_offset: Column, fen: Column, g: Column) -> Column:
+    """The tube group within the whole instrument, by which calibrations are kept."""
+    return div(bank_y, 7) + (g % 4) * groups_n + (fen_offset + fen) * 2 + div(g, 4)
+
+
 def bifrost(ring: Column, g: Column, unit: Column, relative: Column, resolution: int = 300) -> Column:
     x = ring * resolution + (g % 3) * 100 + (relative * 99).cast("long")
     return pixel2d(x, div(g, 3) * 3 + unit, *GRIDS["bifrost"])

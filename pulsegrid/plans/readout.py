@@ -157,12 +157,16 @@ def _bifrost(spark, d):
     return r.withColumn("pixel_id", P.bifrost(V.ring(c("fiber")) % 3, c("grp"), c("u.unit") % 3, relative))
 
 
+_REL = "((p - lo) / (hi - lo))"  # the correction is of the position within the unit
+
+
 def _tbl3he(spark, d):
     r = _located(spark, d)
-    return r.withColumn("pixel_id", P.tbl3he(c("suppkey") % 2, c("line") % 4, L.corrected(c("u"), c("p"))))
+    relative = (c("p") - c("u.lo")) / (c("u.hi") - c("u.lo"))
+    return r.withColumn("pixel_id", P.tbl3he(c("suppkey") % 2, c("line") % 4, L.corrected(c("u"), relative)))
 
 
-_pixels("pixel_tbl3he", ("CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, p - (a + p * (b + p * (c + p * d))))) * 99) AS BIGINT)", "CASE WHEN unit IS NOT NULL THEN (suppkey % 2) * 4 + line % 4 END", 100, 8), _tbl3he, LOCATED, "u")
+_pixels("pixel_tbl3he", (f"CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_REL} - (a + {_REL} * (b + {_REL} * (c + {_REL} * d))))) * 99) AS BIGINT)", "CASE WHEN unit IS NOT NULL THEN (suppkey % 2) * 4 + line % 4 END", 100, 8), _tbl3he, LOCATED, "u")
 
 
 def _loki(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulsegrid.functions import pixels as P
 from pulsegrid.functions import validate as V
 from pulsegrid.functions.timebase import clock_to_ns, quantised, tof
+from pulsegrid.operators.lookup import corrected, interval_of, interval_table, lookup
 from pulsegrid.sources import decode
 
 VERSION = "0.1"
@@ -38,16 +39,31 @@ class Settings:
     options: dict = field(default_factory=dict)
 
 
-def caen_rows(packets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(accepted readouts with time of flight, all readouts with reject_reason) of a tube detector's packets."""
+#: The tables that a detector needs beside its packets.
+TABLES = {"loki": ("banks", "calibration"), "bifrost": ("calibration",), "tbl3he": ("banks", "calibration")}
+
+
+def caen_rows(packets: DataFrame, settings: Settings, tables: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted readouts with time of flight, all readouts with reject_reason) of a tube detector's packets.
+
+    ``tables``: ``banks`` of tbl3he (ring, fen, bank) or loki (ring, bank, bank_fens, fen_offset, bank_y, groups_n), and
+    ``calibration`` as sources.config.tube_calibration gives it, by global group. settings.options: least_amplitude
+    (tbl3he), resolution and total_groups (loki).
+    """
+    missing = [t for t in TABLES.get(settings.detector, ()) if t not in (tables or {})]
+    if missing:
+        raise ValueError(f"{settings.detector} needs the tables {missing}")
     headed = decode.with_header(packets, type_number(settings.detector))
     good = headed.where("reject_reason IS NULL")
     rows = decode.readouts(good, "caen", ["packet_id", "pulse", "previous"])
     c = F.col
     g, a, b = c("grp"), c("amp_a"), c("amp_b")
+    if settings.detector in ("loki", "tbl3he"):
+        rows = lookup(rows.withColumns({"ring": V.ring(c("fiber")), "fen": c("fen").cast("int")}), tables["banks"], ["ring"] if settings.detector == "loki" else ["ring", "fen"])
     rules = {
         "bifrost": lambda: V.bifrost(c("fiber"), c("fen"), g, a, b), "miracles": lambda: V.miracles(c("fiber"), a, b),
-        "cspec": lambda: V.cspec(c("fiber"), c("fen"), g), "loki": lambda: V.ring_fen(V.ring(c("fiber")), c("fen"), 11, 11), "tbl3he": lambda: V.group(g, 3),
+        "cspec": lambda: V.cspec(c("fiber"), c("fen"), g), "loki": lambda: V.loki(c("fiber"), c("fen"), c("bank"), c("bank_fens")),
+        "tbl3he": lambda: V.tbl3he(c("fiber"), g, c("bank"), a, b, least=settings.options.get("least_amplitude", 10)),
     }[settings.detector]()
     flight = tof(clock_to_ns(c("time_high"), c("time_low")), c("pulse"), c("previous"), settings.longest_tof_ns)
     rows = rows.withColumn("t", flight)
@@ -55,12 +71,43 @@ def caen_rows(packets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFr
     return V.accepted(rows), rows
 
 
-def caen_events(packets: DataFrame, settings: Settings) -> DataFrame:
-    """packet_id, reference time, tof and pixel id of the detectors whose pixel needs no calibration table."""
-    rows, _ = caen_rows(packets, settings)
+def calibrated(rows: DataFrame, settings: Settings, calibration: DataFrame) -> DataFrame:
+    """Accepted readouts with ``pixel_id`` by the intervals and corrections of their global group; null where no unit fits."""
+    c, ring, g = F.col, V.ring(F.col("fiber")), F.col("grp")
+    a, b, both = c("amp_a"), c("amp_b"), c("amp_a") + c("amp_b")
+    along = F.try_divide(a.cast("double"), both)
+    chosen = along
+    if settings.detector == "bifrost":
+        group = ring * 15 + g
+    elif settings.detector == "tbl3he":
+        group = c("bank") * 4 + g
+    else:
+        group = P.loki_group(c("bank_y"), c("groups_n"), c("fen_offset"), c("fen"), g)
+        total = both + c("amp_c") + c("amp_d")
+        along, chosen = F.try_divide(both.cast("double"), total), F.try_divide((b + c("amp_d")).cast("double"), total)
+    named = interval_table(calibration.withColumnRenamed("grp", "global_group"), "global_group")
+    found = lookup(rows.withColumn("global_group", group.cast("int")), named, ["global_group"]).withColumn("u", interval_of(c("units"), chosen))
+    relative = (along - c("u.lo")) / (c("u.hi") - c("u.lo"))
+    if settings.detector == "bifrost":
+        pixel = P.bifrost(ring, g, c("u.unit"), relative)
+    elif settings.detector == "tbl3he":
+        pixel = P.tbl3he(c("bank"), g, corrected(c("u"), relative))
+    else:
+        o = settings.options
+        pixel = P.loki(c("bank_y"), c("groups_n"), c("fen_offset"), c("fen"), g, c("u.unit"), corrected(c("u"), along), o["resolution"], o["total_groups"])
+    return found.withColumn("pixel_id", F.when(c("u").isNotNull() & along.between(0, 1), pixel)).drop("units", "u")
+
+
+def caen_events(packets: DataFrame, settings: Settings, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """packet_id, reference time, tof and pixel id of a tube detector's events."""
+    rows, _ = caen_rows(packets, settings, tables)
     c, ring = F.col, V.ring(F.col("fiber"))
-    pixel = {"cspec": lambda: P.cspec(ring, c("grp"), c("amp_a"), c("amp_b")), "miracles": lambda: P.miracles(ring, c("grp"), c("amp_a"), c("amp_b"))}[settings.detector]()
-    return rows.withColumn("pixel_id", pixel).where("pixel_id IS NOT NULL").select("packet_id", c("pulse").alias("reference_time"), "tof", "pixel_id")
+    if settings.detector in TABLES:
+        placed = calibrated(rows, settings, tables["calibration"])
+    else:
+        pixel = {"cspec": lambda: P.cspec(ring, c("grp"), c("amp_a"), c("amp_b")), "miracles": lambda: P.miracles(ring, c("grp"), c("amp_a"), c("amp_b"))}[settings.detector]()
+        placed = rows.withColumn("pixel_id", pixel)
+    return placed.where("pixel_id IS NOT NULL").select("packet_id", c("pulse").alias("reference_time"), "tof", "pixel_id")
 
 
 def vmm_hits(packets: DataFrame, settings: Settings, hybrids: DataFrame) -> DataFrame:
@@ -72,8 +119,6 @@ def vmm_hits(packets: DataFrame, settings: Settings, hybrids: DataFrame) -> Data
     rows = V.accepted(decode.readouts(good, "vmm3", ["packet_id", "pulse", "previous"]))
     c = F.col
     rows = rows.withColumns({"ring": V.ring(c("fiber")), "hybrid": P.vmm_hybrid(c("vmm")), "asic": P.vmm_asic(c("vmm"))})
-    from pulsegrid.operators.lookup import lookup
-
     rows = lookup(rows.withColumn("fen", c("fen").cast("int")), hybrids, ["ring", "fen", "hybrid"])
     threshold = F.when(c("asic") == 0, c("threshold0")).otherwise(c("threshold1"))
     rows = V.accepted(V.with_reject(rows, [*V.vmm_family(c("ring"), c("fen"), c("number"), c("vmm"), c("channel")), *V.adc_threshold(c("otadc"), threshold)]))

@@ -2,6 +2,7 @@
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import pixels as P
@@ -103,6 +104,39 @@ def test_tube_pipeline(spark):
     assert [(e.reference_time, e.tof, e.pixel_id) for e in event] == [(1000 * 10**9, 10**9 + 5678, 3 + (74 * 10 // 40) * 900 + 1)]
 
 
+CALIBRATION = "grp int, unit int, lo double, hi double, a double, b double, c double, d double"
+
+
+def test_bifrost_pipeline(spark):
+    """Group 19 (ring 1, group 4): a position in a unit, one between units, one of a group without calibration, a reject."""
+    tables = {"calibration": spark.createDataFrame([(19, i, lo, hi, 0.0, 0.0, 0.0, 0.0) for i, (lo, hi) in enumerate([(0.0, 0.3), (0.35, 0.6), (0.7, 1.0)])], CALIBRATION)}
+    data = caen(fiber=2, grp=4, amps=(10, 10, 0, 0)) + caen(fiber=2, grp=4, amps=(32, 68, 0, 0)) + caen(fiber=2, grp=5, amps=(1, 1, 0, 0)) + caen(fiber=2, grp=15, amps=(1, 1, 0, 0))
+    payload = packets(spark, [header(0x34, len(data)) + data])
+    assert [e.pixel_id for e in caen_events(payload, Settings("bifrost"), tables).collect()] == [300 + 100 + 59 + 4 * 900 + 1]
+    assert [r.reject_reason for r in caen_rows(payload, Settings("bifrost"), tables)[1].orderBy("pos").collect()] == [None, None, None, "group"]
+
+
+def test_tbl3he_pipeline(spark):
+    """The correction is of the position within the unit: 0.4 of 0..0.8 is 0.5, less 0.1."""
+    tables = {"banks": spark.createDataFrame([(2, 1, 1)], "ring int, fen int, bank int"), "calibration": spark.createDataFrame([(6, 0, 0.0, 0.8, 0.1, 0.0, 0.0, 0.0)], CALIBRATION)}
+    data = caen(fiber=4, fen=1, grp=2, amps=(40, 60, 0, 0)) + caen(fiber=4, fen=2, grp=2, amps=(40, 60, 0, 0)) + caen(fiber=4, fen=1, grp=2, amps=(9, 60, 0, 0)) + caen(fiber=4, fen=1, grp=2, amps=(90, 10, 0, 0))
+    payload = packets(spark, [header(0x32, len(data)) + data])
+    assert [e.pixel_id for e in caen_events(payload, Settings("tbl3he"), tables).collect()] == [39 + 6 * 100 + 1]
+    assert [r.reject_reason for r in caen_rows(payload, Settings("tbl3he"), tables)[1].orderBy("pos").collect()] == [None, "topology", "amplitude_low", None]
+    with pytest.raises(ValueError):
+        caen_events(payload, Settings("tbl3he"))
+
+
+def test_loki_pipeline(spark):
+    tables = {"banks": spark.createDataFrame([(1, 0, 4, 2, 0, 8)], "ring int, bank int, bank_fens int, fen_offset int, bank_y int, groups_n int"),
+              "calibration": spark.createDataFrame([(15, 0, 0.0, 0.4, 0.0, 0.0, 0.0, 0.0), (15, 1, 0.5, 1.0, 0.25, 0.0, 0.0, 0.0)], CALIBRATION)}
+    data = caen(fiber=2, fen=1, grp=5, amps=(10, 20, 0, 10)) + caen(fiber=2, fen=1, grp=5) + caen(fiber=2, fen=4, grp=5, amps=(1, 1, 1, 1)) + caen(fiber=4, fen=1, grp=5, amps=(1, 1, 1, 1))
+    payload = packets(spark, [header(0x30, len(data)) + data])
+    settings = Settings("loki", options={"resolution": 512, "total_groups": 32})
+    assert [e.pixel_id for e in caen_events(payload, settings, tables).collect()] == [round(0.5 * 511 + 1e-9) + (56 + 42 + 7 + 1) * 512 + 1]
+    assert [r.reject_reason for r in caen_rows(payload, settings, tables)[1].orderBy("pos").collect()] == [None, None, "fen", "bank"]
+
+
 def test_strip_pipeline(spark):
     vmm = lambda v, ch, adc: struct.pack("<BBHIIHHBBBB", 0, 0, 20, 1001, 88, 0, adc, 0, 0, v, ch)
     data = vmm(0, 20, 100) + vmm(1, 5, 100) + vmm(0, 10, 100) + vmm(0, 20, 5) + vmm(4, 20, 100)
