@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegrid.plans import clustering, messages, readout, validators  # noqa: F401
+from pulsegrid.plans import clustering, instruments, messages, readout, validators  # noqa: F401
 from pulsegrid.plans.catalog import ORACLES, QUERIES
 
 
