@@ -164,12 +164,14 @@ def sumo_cassette(sumo: Column, anode: Column, cathode: Column) -> Column:
     return value.cast("int").bitwiseAND(255)
 
 
-def sumo(sector: Column, number: Column, anode: Column, cathode: Column, nx: int, ny: int) -> Column:
+def sumo_xy(sector: Column, number: Column, cassette: Column, anode: Column, cathode: Column) -> tuple[Column, Column]:
     counter, wire_ = cdt_parts(anode)
-    cassette = sumo_cassette(number, anode, cathode)
     offset = F.coalesce(*(F.when((number == n) & (cassette < SUMO_CASSETTES[n]), F.lit(x)) for n, x in SUMO_X.items()))
-    x = F.when(sector <= MAX_SECTOR, sector * 56 + offset + 2 * cassette + counter)
-    return pixel2d(x, (cathode % 16) * 16 + wire_, nx, ny)
+    return F.when(sector <= MAX_SECTOR, sector * 56 + offset + 2 * cassette + counter), (cathode % 16) * 16 + wire_
+
+
+def sumo(sector: Column, number: Column, anode: Column, cathode: Column, nx: int, ny: int) -> Column:
+    return pixel2d(*sumo_xy(sector, number, sumo_cassette(number, anode, cathode), anode, cathode), nx, ny)
 
 
 def mantle_parts(anode: Column) -> tuple[Column, Column]:
@@ -177,25 +179,37 @@ def mantle_parts(anode: Column) -> tuple[Column, Column]:
     return div(anode, 32) % 2, anode % 32
 
 
-def mantle(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 256) -> Column:
+def mantle_xy(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 256) -> tuple[Column, Column]:
     """``unit`` (mounting unit) and ``cassette`` come from the module's configuration; ``strips`` is 256 or 128 a cassette."""
     counter, wire_ = mantle_parts(anode)
-    return pixel2d(cathode % strips, 60 * wire_ + 12 * unit + 2 * cassette + counter, strips, 1920)
+    return cathode % strips, 60 * wire_ + 12 * unit + 2 * cassette + counter
 
 
-def heimdal(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 64) -> Column:
+def mantle(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 256) -> Column:
+    return pixel2d(*mantle_xy(unit, cassette, anode, cathode, strips), strips, 1920)
+
+
+def heimdal_xy(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 64) -> tuple[Column, Column]:
     counter, wire_ = mantle_parts(anode)
-    return pixel2d(12 * unit + 2 * cassette + counter, cathode % strips + wire_ * strips, 144, 2048)
+    return 12 * unit + 2 * cassette + counter, cathode % strips + wire_ * strips
 
 
-def cuboid(anode: Column, cathode: Column, rotation: Column, x_offset: Column, y_offset: Column, nx: int, ny: int) -> Column:
+def heimdal(unit: Column, cassette: Column, anode: Column, cathode: Column, strips: int = 64) -> Column:
+    return pixel2d(*heimdal_xy(unit, cassette, anode, cathode, strips), 144, 2048)
+
+
+def cuboid_xy(anode: Column, cathode: Column, rotation: Column, x_offset: Column, y_offset: Column) -> tuple[Column, Column]:
     """A cuboid of 16 x 16 cells, turned clockwise by ``rotation`` quarters, in layers of 112 rows."""
     counter, wire_ = cdt_parts(anode)
     x = 2 * (div(anode, 32) + 2 * div(cathode, 32)) + counter
     y = 15 - wire_
     tx = F.when(rotation == 1, 15 - y).when(rotation == 2, 15 - x).when(rotation == 3, y).otherwise(x)
     ty = F.when(rotation == 1, x).when(rotation == 2, 15 - y).when(rotation == 3, 15 - x).otherwise(y)
-    return pixel2d(x_offset + tx, 112 * (cathode % 32) + y_offset + ty, nx, ny)
+    return x_offset + tx, 112 * (cathode % 32) + y_offset + ty
+
+
+def cuboid(anode: Column, cathode: Column, rotation: Column, x_offset: Column, y_offset: Column, nx: int, ny: int) -> Column:
+    return pixel2d(*cuboid_xy(anode, cathode, rotation, x_offset, y_offset), nx, ny)
 
 
 # X offset, y offset and quarter turns of the cuboids of two detectors, by their index.
@@ -221,16 +235,25 @@ CUBOIDS = {
 }
 
 
-def cuboid_at(kind: str, unit: Column, first: Column, second: Column, anode: Column, cathode: Column) -> Column:
-    """Pixel in the cuboids of ``kind``: unit 0 reads the module's first index, unit 1 its second; null for other units and indices."""
+def cuboid_place(kind: str, unit: Column, first: Column, second: Column) -> Column:
+    """(x, y, turn) of a cuboid of ``kind``: unit 0 reads the module's first index, unit 1 its second; null for other units and indices."""
     index = F.when(unit == 0, first).when(unit == 1, second).cast("int")
-    place = F.get(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, ("x", "y", "turn")))) for p in CUBOIDS[kind])), index)
+    return F.get(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, ("x", "y", "turn")))) for p in CUBOIDS[kind])), index)
+
+
+def cuboid_at(kind: str, unit: Column, first: Column, second: Column, anode: Column, cathode: Column) -> Column:
+    """Pixel in the cuboids of ``kind``, by cuboid_place."""
+    place = cuboid_place(kind, unit, first, second)
     return F.when(place.isNotNull(), cuboid(anode, cathode, place["turn"], place["x"], place["y"], 112, 112 * 32))
 
 
-def pa(sector: Column, anode: Column, cathode: Column, nx: int, ny: int) -> Column:
+def pa_xy(sector: Column, anode: Column, cathode: Column) -> tuple[Column, Column]:
     counter, wire_ = cdt_parts(anode)
-    return pixel2d(sector * 32 + 2 * (div(anode, 32) + 4 * div(cathode, 64)) + counter, (cathode % 32) * 16 + wire_, nx, ny)
+    return sector * 32 + 2 * (div(anode, 32) + 4 * div(cathode, 64)) + counter, (cathode % 32) * 16 + wire_
+
+
+def pa(sector: Column, anode: Column, cathode: Column, nx: int, ny: int) -> Column:
+    return pixel2d(*pa_xy(sector, anode, cathode), nx, ny)
 
 
 # First pixel ids of the parts of two instruments.

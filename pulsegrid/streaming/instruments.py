@@ -98,20 +98,37 @@ def panel_event_rows(packets: DataFrame, settings: Settings, hybrids: DataFrame)
     return _placed(rows.join(latest, [*PACKET, "event"]), settings, c("time_end"), rules, P.vmm_pixel(c("x"), c("y"), *P.GRIDS["nmx"]))
 
 
-# CDT module types, by the instrument that has them.
-CDT_TYPES = {"dream": ("FwEndCap", "BwEndCap", "DreamMantle", "SANS", "HR"), "magic": ("FRDetector", "PADetector"), "heimdal": ("HeimdalMantle",)}
+# CDT module types of each instrument, with their part and their grid (x, y).
+CDT_TYPES = {
+    "dream": {"FwEndCap": ("fw_endcap", 280, 256), "BwEndCap": ("bw_endcap", 616, 256), "DreamMantle": ("mantle", 256, 1920), "SANS": ("sans", 112, 3584), "HR": ("hr", 112, 3584)},
+    "magic": {"FRDetector": ("fr", 128, 1920), "PADetector": ("pa", 256, 512)},
+    "heimdal": {"HeimdalMantle": (None, 144, 2048)},
+}
 
 
-def cdt_pixel(detector: str, kind: Column, first: Column, second: Column, unit: Column, anode: Column, cathode: Column) -> Column:
-    """Pixel id within the instrument, by the module's type and its two indices; null for types of other instruments."""
+def with_cdt_pixel(rows: DataFrame, detector: str) -> DataFrame:
+    """``rows`` with ``pixel_id`` within the instrument, by the module's type; null for types of other instruments.
+
+    What several columns use (cassette, place, x, y) is a column of its own, so that generated code stays small.
+    """
+    c = F.col
+    kind, first, second, unit, anode, cathode = (c(n) for n in ("kind", "first", "second", "unit", "anode", "cathode"))
+    places = [F.when(kind == name, P.cuboid_place(name.lower(), unit, first, second)) for name in ("SANS", "HR")]
+    rows = rows.withColumns({"cassette": P.sumo_cassette(unit, anode, cathode), "place": F.coalesce(*places)})
+    sumo = lambda: P.sumo_xy(first, unit, c("cassette"), anode, cathode)
+    cuboid = lambda: P.cuboid_xy(anode, cathode, c("place.turn"), c("place.x"), c("place.y"))
     built = {
-        "FwEndCap": lambda: P.in_part(P.sumo(first, unit, anode, cathode, 280, 256), "fw_endcap"), "BwEndCap": lambda: P.in_part(P.sumo(first, unit, anode, cathode, 616, 256), "bw_endcap"),
-        "DreamMantle": lambda: P.in_part(P.mantle(first, second, anode, cathode), "mantle"),
-        "SANS": lambda: P.in_part(P.cuboid_at("sans", unit, first, second, anode, cathode), "sans"), "HR": lambda: P.in_part(P.cuboid_at("hr", unit, first, second, anode, cathode), "hr"),
-        "FRDetector": lambda: P.in_part(P.mantle(first, second, anode, cathode, 128), "fr"), "PADetector": lambda: P.in_part(P.pa(first, anode, cathode, 256, 512), "pa"),
-        "HeimdalMantle": lambda: P.heimdal(first, second, anode, cathode),
+        "FwEndCap": sumo, "BwEndCap": sumo, "DreamMantle": lambda: P.mantle_xy(first, second, anode, cathode), "SANS": cuboid, "HR": cuboid,
+        "FRDetector": lambda: P.mantle_xy(first, second, anode, cathode, 128), "PADetector": lambda: P.pa_xy(first, anode, cathode), "HeimdalMantle": lambda: P.heimdal_xy(first, second, anode, cathode),
     }
-    return F.coalesce(*(F.when(kind == name, built[name]()) for name in CDT_TYPES[detector]))
+    cells: dict = {}
+    for name in CDT_TYPES[detector]:
+        cells.setdefault(built[name], []).append(name)
+    cells = {tuple(names): build() for build, names in cells.items()}
+    rows = rows.withColumns({n: F.coalesce(*(F.when(kind.isin(*names), xy[i].cast("long")) for names, xy in cells.items())) for i, n in enumerate("xy")})
+    grids = {name: P.pixel2d(c("x"), c("y"), nx, ny) for name, (_, nx, ny) in CDT_TYPES[detector].items()}
+    pixels = (F.when(kind == name, P.in_part(pixel, part) if (part := CDT_TYPES[detector][name][0]) else pixel) for name, pixel in grids.items())
+    return rows.withColumn("pixel_id", F.coalesce(*pixels)).drop("cassette", "place", "x", "y")
 
 
 def cdt_event_rows(packets: DataFrame, settings: Settings, modules: DataFrame) -> DataFrame:
@@ -120,8 +137,8 @@ def cdt_event_rows(packets: DataFrame, settings: Settings, modules: DataFrame) -
     c = F.col
     rows = V.accepted(decode.readouts(good, "cdt", ["packet_id", "pulse", "previous"]))
     rows = lookup(rows.withColumns({"ring": V.ring(c("fiber")), "fen": c("fen").cast("int")}), modules, ["ring", "fen"])
-    pixel = cdt_pixel(settings.detector, c("kind"), c("first"), c("second"), c("unit"), c("anode"), c("cathode"))
-    return _placed(rows, settings, clock_to_ns(c("time_high"), c("time_low")), V.cdt(c("ring"), c("fen"), c("kind")), pixel)
+    rows = with_cdt_pixel(rows, settings.detector)
+    return _placed(rows, settings, clock_to_ns(c("time_high"), c("time_low")), V.cdt(c("ring"), c("fen"), c("kind")), c("pixel_id"))
 
 
 def instrument_events(packets: DataFrame, settings: Settings, tables: dict[str, DataFrame] | None = None) -> DataFrame:
