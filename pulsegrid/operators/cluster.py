@@ -103,9 +103,9 @@ def time_gap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return F.greatest(F.greatest(a_start, b_start) - F.least(a_end, b_end), F.lit(0))
 
 
-def has_gap(distinct_coordinates: Column, span: Column, allowed: int) -> Column:
-    """True if more than ``allowed`` coordinates inside the span were not hit."""
-    return distinct_coordinates + allowed < span
+def has_gap(hits: Column, span: Column, allowed: int) -> Column:
+    """True if a cluster has fewer hits, with ``allowed`` more, than its span has coordinates; hits of one coordinate all count."""
+    return hits + allowed < span
 
 
 def chunk_index(x: Column, y: Column, chunk: int, per_dimension: int) -> Column:
