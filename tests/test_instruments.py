@@ -58,3 +58,16 @@ def test_cdt_events(spark):
 def test_calibration_mode_passes_packets(spark):
     source = payload(spark, 0x48, vmm(1, 5))
     assert instrument_events(source, Settings("freia", raw=True)).collect() == source.collect()
+
+
+@pytest.mark.parametrize("detector, number, module, pixel", [
+    ("magic", 0x64, "PADetector", 245760 + (2 * 32 + 2 * (1 + 4 * 1) + 0) + ((70 % 32) * 16 + 1) * 256 + 1),
+    ("magic", 0x64, "FRDetector", 70 + (60 * 1 + 12 * 2 + 2 * 3 + 1) * 128 + 1),
+    ("heimdal", 0x68, "HeimdalMantle", 12 * 2 + 2 * 3 + 1 + (6 + 1 * 64) * 144 + 1),
+])
+def test_other_cdt_instruments(spark, detector, number, module, pixel):
+    """Anode 33 is counter 1, wire 1 of a mantle, and cassette 1, counter 0, wire 1 of the other kind; cathode 70."""
+    record = struct.pack("<BBHIIBBBB", 0, 0, 16, 1000, 88, 0, 0, 70, 33)
+    modules = spark.createDataFrame([(0, 0, module, 2, 3)], "ring int, fen int, kind string, first int, second int")
+    found = instrument_events(payload(spark, number, record), Settings(detector), {"modules": modules}).collect()
+    assert [r.pixel_id for r in found] == [pixel]
