@@ -53,13 +53,21 @@ def tof(time: Column, pulse: Column, previous: Column, longest: int = MAX_TOF_NS
     ``longest`` is still accepted. Rejected rows have a null tof and the name of the failing rule.
     """
     now, before = time - pulse, time - previous
-    reject = (
+    reject = tof_reject(now, before, longest)
+    return F.struct(tof_of(now, before, reject).alias("tof"), reject.alias("reject"), (now < 0).alias("from_previous"))
+
+
+def tof_reject(now: Column, before: Column, longest: int = MAX_TOF_NS) -> Column:
+    """Name of the failing rule by the times since the pulse and since the previous pulse."""
+    return (
         F.when((now >= 0) & (now > longest), "tof_high")
         .when((now < 0) & (before < 0), "prev_tof_negative")
         .when((now < 0) & (before > longest), "prev_tof_high")
     )
-    chosen = F.when(now >= 0, now).otherwise(before)
-    return F.struct(F.when(reject.isNull(), chosen).alias("tof"), reject.alias("reject"), (now < 0).alias("from_previous"))
+
+
+def tof_of(now: Column, before: Column, reject: Column) -> Column:
+    return F.when(reject.isNull(), F.when(now >= 0, now).otherwise(before))
 
 
 def hz_to_ns(hz: Column) -> Column:

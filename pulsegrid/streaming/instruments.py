@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import pixels as P
 from pulsegrid.functions import validate as V
-from pulsegrid.functions.timebase import clock_to_ns, quantised, tof
+from pulsegrid.functions.timebase import clock_to_ns, quantised, tof_of, tof_reject
 from pulsegrid.operators import cluster as C
 from pulsegrid.operators import match as M
 from pulsegrid.operators.lookup import lookup
@@ -34,10 +34,15 @@ def matched_clusters(clustered: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _placed(rows: DataFrame, settings: Settings, time: Column, rules: V.Rules, pixel: Column) -> DataFrame:
-    """Event rows with ``tof``, ``pixel_id`` and the first failing rule, of ``rules``, time of flight and pixel."""
-    rows = rows.withColumns({"t": tof(time, F.col("pulse"), F.col("previous"), settings.longest_tof_ns), "pixel_id": pixel})
-    reason = F.coalesce(V.first_reject(rules), F.col("t.reject"), F.when(F.col("pixel_id").isNull(), "pixel"))
-    return rows.withColumns({"reject_reason": reason, "tof": F.col("t.tof")}).drop("t")
+    """Event rows with ``tof``, ``pixel_id`` and the first failing rule, of ``rules``, time of flight and pixel.
+
+    What is used several times is a column of its own, so that generated code stays small.
+    """
+    c = F.col
+    rows = rows.withColumns({"_now": time - c("pulse"), "_before": time - c("previous"), "pixel_id": pixel})
+    rows = rows.withColumn("_off", tof_reject(c("_now"), c("_before"), settings.longest_tof_ns))
+    reason = F.coalesce(V.first_reject(rules), c("_off"), F.when(c("pixel_id").isNull(), "pixel"))
+    return rows.withColumns({"reject_reason": reason, "tof": tof_of(c("_now"), c("_before"), c("_off"))}).drop("_now", "_before", "_off")
 
 
 def _events(rows: DataFrame) -> DataFrame:
@@ -106,17 +111,36 @@ CDT_TYPES = {
 }
 
 
+def cdt_grids(modules: DataFrame, detector: str) -> DataFrame:
+    """``modules`` with what their type fixes: ``grid`` (nx, ny, first pixel id; null for types of other instruments) and the places of cuboids.
+
+    It is worked out once a module, not once a readout, so that the code generated for readouts stays small enough to be compiled.
+    """
+    c, kind, types = F.col, F.col("kind"), CDT_TYPES[detector]
+    grids = (F.when(kind == name, F.struct(F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(P.PART_OFFSETS.get(part, 0)).alias("first_id"))) for name, (part, nx, ny) in types.items())
+    rows = modules.withColumn("grid", F.coalesce(*grids))
+    cuboids = [name for name in ("SANS", "HR") if name in types]
+    if not cuboids:
+        return rows
+    place = lambda unit: F.coalesce(*(F.when(kind == name, P.cuboid_place(name.lower(), F.lit(unit), c("first"), c("second"))) for name in cuboids))
+    return rows.withColumns({"place0": place(0), "place1": place(1)})
+
+
 def with_cdt_pixel(rows: DataFrame, detector: str) -> DataFrame:
-    """``rows`` with ``pixel_id`` within the instrument, by the module's type; null for types of other instruments.
+    """``rows``, joined with cdt_grids, with ``pixel_id`` within the instrument; null for types of other instruments.
 
-    What several columns use (cassette, place, x, y) is a column of its own, so that generated code stays small.
+    What several columns use (cassette, place, cell, x, y) is a column of its own, so that generated code stays small.
     """
     c = F.col
     kind, first, second, unit, anode, cathode = (c(n) for n in ("kind", "first", "second", "unit", "anode", "cathode"))
-    places = [F.when(kind == name, P.cuboid_place(name.lower(), unit, first, second)) for name in ("SANS", "HR")]
-    rows = rows.withColumns({"cassette": P.sumo_cassette(unit, anode, cathode), "place": F.coalesce(*places)})
+    shared = {}
+    if "FwEndCap" in CDT_TYPES[detector]:
+        shared["cassette"] = P.sumo_cassette(unit, anode, cathode)
+    if "place0" in rows.columns:
+        shared |= {"place": F.when(unit == 0, c("place0")).when(unit == 1, c("place1"))} | dict(zip(("cell_x", "cell_y"), P.cuboid_cell(anode, cathode)))
+    rows = rows.withColumns(shared) if shared else rows
     sumo = lambda: P.sumo_xy(first, unit, c("cassette"), anode, cathode)
-    cuboid = lambda: P.cuboid_xy(anode, cathode, c("place.turn"), c("place.x"), c("place.y"))
+    cuboid = lambda: P.turned_xy(c("cell_x"), c("cell_y"), cathode, c("place"))
     built = {
         "FwEndCap": sumo, "BwEndCap": sumo, "DreamMantle": lambda: P.mantle_xy(first, second, anode, cathode), "SANS": cuboid, "HR": cuboid,
         "FRDetector": lambda: P.mantle_xy(first, second, anode, cathode, 128), "PADetector": lambda: P.pa_xy(first, anode, cathode), "HeimdalMantle": lambda: P.heimdal_xy(first, second, anode, cathode),
@@ -126,9 +150,8 @@ def with_cdt_pixel(rows: DataFrame, detector: str) -> DataFrame:
         cells.setdefault(built[name], []).append(name)
     cells = {tuple(names): build() for build, names in cells.items()}
     rows = rows.withColumns({n: F.coalesce(*(F.when(kind.isin(*names), xy[i].cast("long")) for names, xy in cells.items())) for i, n in enumerate("xy")})
-    grids = {name: P.pixel2d(c("x"), c("y"), nx, ny) for name, (_, nx, ny) in CDT_TYPES[detector].items()}
-    pixels = (F.when(kind == name, P.in_part(pixel, part) if (part := CDT_TYPES[detector][name][0]) else pixel) for name, pixel in grids.items())
-    return rows.withColumn("pixel_id", F.coalesce(*pixels)).drop("cassette", "place", "x", "y")
+    pixel = P.pixel2d(c("x"), c("y"), c("grid.nx"), c("grid.ny")) + c("grid.first_id")
+    return rows.withColumn("pixel_id", pixel).drop("cassette", "place", "cell_x", "cell_y", "x", "y")
 
 
 def cdt_event_rows(packets: DataFrame, settings: Settings, modules: DataFrame) -> DataFrame:
@@ -136,9 +159,9 @@ def cdt_event_rows(packets: DataFrame, settings: Settings, modules: DataFrame) -
     good = decode.with_header(packets, type_number(settings.detector)).where("reject_reason IS NULL")
     c = F.col
     rows = V.accepted(decode.readouts(good, "cdt", ["packet_id", "pulse", "previous"]))
-    rows = lookup(rows.withColumns({"ring": V.ring(c("fiber")), "fen": c("fen").cast("int")}), modules, ["ring", "fen"])
-    rows = with_cdt_pixel(rows, settings.detector)
-    return _placed(rows, settings, clock_to_ns(c("time_high"), c("time_low")), V.cdt(c("ring"), c("fen"), c("kind")), c("pixel_id"))
+    rows = lookup(rows.withColumns({"ring": V.ring(c("fiber")), "fen": c("fen").cast("int")}), cdt_grids(modules, settings.detector), ["ring", "fen"])
+    rows = with_cdt_pixel(rows, settings.detector).drop("grid", "place0", "place1")
+    return _placed(rows.withColumn("time", clock_to_ns(c("time_high"), c("time_low"))), settings, c("time"), V.cdt(c("ring"), c("fen"), c("kind")), c("pixel_id")).drop("time")
 
 
 def instrument_events(packets: DataFrame, settings: Settings, tables: dict[str, DataFrame] | None = None) -> DataFrame:

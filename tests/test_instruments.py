@@ -4,6 +4,7 @@ import struct
 
 import pytest
 
+from pulsegrid.plans import core
 from pulsegrid.streaming.instruments import cdt_event_rows, instrument_events, panel_event_rows, strip_event_rows
 from pulsegrid.streaming.pipeline import Settings
 from tests.test_decode import header, packets
@@ -71,3 +72,17 @@ def test_other_cdt_instruments(spark, detector, number, module, pixel):
     modules = spark.createDataFrame([(0, 0, module, 2, 3)], "ring int, fen int, kind string, first int, second int")
     found = instrument_events(payload(spark, number, record), Settings(detector), {"modules": modules}).collect()
     assert [r.pixel_id for r in found] == [pixel]
+
+
+def test_dream_code_is_compiled(spark, sf_dir):
+    """Java compiles no method of 8000 bytes or more, and then runs it many times slower."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = core.queries()["instrument_dream"](spark, sf_dir)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    codes = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan).iterator()
+    sizes = []
+    while codes.hasNext():
+        sizes.append(codes.next()._3().maxMethodCodeSize())
+    assert sizes and max(sizes) < 8000
