@@ -256,8 +256,9 @@ CUBOIDS = {
 def cuboid_place(kind: str, unit: Column, first: Column, second: Column) -> Column:
     """How a cuboid of ``kind`` stands: unit 0 reads the module's first index, unit 1 its second; null for other units and indices."""
     index = F.when(unit == 0, first).when(unit == 1, second).cast("int")
-    stands = (turned(F.lit(turn), F.lit(x), F.lit(y)) for x, y, turn in CUBOIDS[kind])
-    return F.get(F.array(*stands), index)
+    constants = ((x + TURNS[turn][0][0], *TURNS[turn][0][1:], y + TURNS[turn][1][0], *TURNS[turn][1][1:]) for x, y, turn in CUBOIDS[kind])
+    stands = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(("x0", "xx", "xy", "y0", "yx", "yy"), place)) + ")" for place in constants)
+    return F.get(F.expr(f"array({stands})"), index)
 
 
 def cuboid_at(kind: str, unit: Column, first: Column, second: Column, anode: Column, cathode: Column) -> Column:
